@@ -5,13 +5,15 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import mixing, sharding
+from splicelake.llm import mixing, packing, quality, sharding, tokenids, toxicity
 from splicelake.llm.common import checkpointed, table, word_count
 
 SHARDS = 16
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,21 @@ FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
 
 
+#: Labels with this remainder of crc32(doc_id as text) by 3 are held out of training.
+HELD_OUT = 1
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == HELD_OUT
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), only=~held_out())
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -59,8 +76,27 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(checkpointed(docs), [1.0] * SHARDS, grown="grown_shard", slot="slot")
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenids.write(table(spark, sf_dir, "documents"), TOKENIZER)
+    return tokenids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, trees).select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_token_ids": op2_token_ids,
+    "op3_toxicity": op3_toxicity,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_pack_sequences": op9_pack_sequences,
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL}
