@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.llm.common import checkpointed
-from splicelake.llm.tokenizer import WordEncoder
+from splicelake.llm.tokenizer import encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs. The sequences it leaves part-filled are few against those it fills.
@@ -28,10 +28,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1).to_pylist(), end_id), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.documents(batch.column(1).to_pylist(), end_id), strict=True):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     doc.append(doc_id)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from splicelake.llm.labelled import labelled_sample
 
@@ -179,10 +179,8 @@ def judge(docs: DataFrame, trees: Trees, *, least: float = 0.5) -> DataFrame:
     """
     docs = docs.drop(*BASE, "base_failed", "quality", "kept")
     at = docs.columns.index("text")
-    schema = docs.schema
-    for name in BASE:
-        schema = schema.add(name, "long")
-    schema = schema.add("base_failed", "boolean").add("quality", "double").add("kept", "boolean")
+    more = [*(StructField(name, LongType()) for name in BASE), StructField("base_failed", BooleanType()), StructField("quality", DoubleType()), StructField("kept", BooleanType())]
+    schema = StructType([*docs.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +188,7 @@ def judge(docs: DataFrame, trees: Trees, *, least: float = 0.5) -> DataFrame:
             base = np.array([b for b, _ in found], np.int64).reshape(len(found), len(BASE))
             failed = np.array([_fails(b) for b, _ in found], bool)
             quality = trees.score(np.array([f for _, f in found], float).reshape(len(found), len(FEATURES)))
-            more = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= least))]
-            yield pa.record_batch([*batch.columns, *more], names=schema.names)
+            added = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= least))]
+            yield pa.record_batch([*batch.columns, *added], names=schema.names)
 
     return docs.mapInArrow(run, schema)

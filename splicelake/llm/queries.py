@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import mixing, packing, quality, sharding, tokenids, toxicity
+from splicelake.llm import media, mixing, packing, quality, sharding, simhash, tokenids, toxicity
 from splicelake.llm.common import checkpointed, table, word_count
 
 SHARDS = 16
@@ -66,6 +66,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -91,12 +95,30 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+def op10_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.analyse(media.store(table(spark, sf_dir, "documents")))
+    seconds = lambda x: F.round(x * 1000).cast("long").cast("string")
+    loud = F.array_join(F.transform("segments", lambda s: F.concat(seconds(s["start_s"]), F.lit("-"), seconds(s["end_s"]))), ",")
+    bands = F.array_join(F.transform("bands", lambda b: F.round(b * 100).cast("long").cast("string")), ",")
+    return found.select(
+        "doc_id", "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("spans="), F.size("spans")), F.concat(F.lit("loud_ms="), loud), F.concat(F.lit("bands="), bands), F.concat(F.lit("tensors="), F.md5("tensors"))).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_pack_sequences": op9_pack_sequences,
+    "op10_media_features": op10_media_features,
 }
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splicelake.llm.common import shared_folder, written
-from splicelake.llm.tokenizer import WordEncoder
+from splicelake.llm.tokenizer import encoder
 
 END_ID = 2
 #: Ids after which a block ends.
@@ -50,12 +50,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID) -> DataFrame:
     """``doc_id`` and ``ids``: little-endian unsigned 16-bit where the vocabulary allows, else 32-bit."""
-    narrow = WordEncoder(tokenizer).vocabulary <= 1 << 16
+    narrow = encoder(tokenizer).vocabulary <= 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
-            ids = [x.astype("<u2" if narrow else "<u4").tobytes() for x in encoder.documents(batch.column(1).to_pylist(), end_id)]
+            ids = [x.astype("<u2" if narrow else "<u4").tobytes() for x in words.documents(batch.column(1).to_pylist(), end_id)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
@@ -72,7 +72,7 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID) -> str:
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    dtype = "<u2" if WordEncoder(tokenizer).vocabulary <= 1 << 16 else "<u4"
+    dtype = "<u2" if encoder(tokenizer).vocabulary <= 1 << 16 else "<u4"
     held = written(tokenized(docs, tokenizer, end_id=end_id), "tokenized")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

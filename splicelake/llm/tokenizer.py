@@ -3,52 +3,112 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 from itertools import chain, islice
 
 import numpy as np
 
 #: Bytes of text that are split at once, and distinct chunks that one task remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 400_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
 
 
 class _Places(dict):
-    """Chunk -> place; a new chunk takes the next one."""
+    """Key -> place; a new key takes the next one."""
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = place = len(self)
+    def __missing__(self, key: bytes | str) -> int:
+        self[key] = place = len(self)
         return place
 
 
+class _Runs:
+    """Runs of ids by place."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these places in a row, and their numbers."""
+        lengths = self.lengths[places]
+        shift = self.starts[places] - np.cumsum(lengths) + lengths
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
 class WordEncoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    For tokenizers whose pieces never span ASCII white space and that drop it (here: a split pattern that matches no
-    white space, and no prefix space). Such a text's ids are those of its white-space separated chunks in a row, so each
-    distinct chunk is encoded once and found again in a table. The table is bounded and starts anew when full.
+    For tokenizers that lower-case, whose pieces never span ASCII white space and that drop it, and that give a run of
+    letters one piece (here: a split pattern of letter runs, digits and other runs, and an end mark on each piece's last
+    token). A text's ids are then those of its white-space separated chunks in a row, so each distinct chunk is encoded
+    once and found again in a table. A new chunk of Latin letters and closing punctuation is a word and its punctuation,
+    known by themselves; new words are encoded many at a time and told apart by the end mark. Other chunks are encoded
+    whole. The tables are bounded and start anew when full.
     """
 
+    #: Letters A-Z, and U+00C0 to U+00FF without the two signs there, all of them composed; then common punctuation.
+    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Places()
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.known, self.parts = _Places(), _Places()
+        self.chunk_ids, self.part_ids = _Runs(), _Runs()
+        self.parts[""] = 0
+        self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Adds the ids of new chunks, in this order."""
+        before, place = len(self.parts), self.parts.__getitem__
+        word, tail, odd = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
+        for i, chunk in enumerate(chunks):
+            text = chunk.decode()
+            if m := self.plain(text):
+                word[i], tail[i] = place(m[1].lower()), place(m[2])
+            else:
+                odd.append((i, text))
+        fresh = list(islice(self.parts, before, None))
+        words = [x for x in fresh if x.isalpha()]
+        marks = [x for x in fresh if not x.isalpha()]
+        joined, _ = self._encoded([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+        ends = np.flatnonzero(self.ends[joined]) + 1
+        ids = np.split(joined, ends[:-1]) if len(words) else []
+        of = dict(zip(words, ids, strict=True)) | dict(zip(marks, np.split(*self._split(marks)), strict=False))
+        self.part_ids.add(np.concatenate([*(of[x] for x in fresh), np.zeros(0, np.uint32)]), np.fromiter((len(of[x]) for x in fresh), np.int64, len(fresh)))
+        whole, lengths = self._encoded([t for _, t in odd])
+        pairs, sizes = self.part_ids.of(np.stack([word, tail], 1).ravel())
+        at = np.array([i for i, _ in odd], np.int64)
+        each = sizes.reshape(-1, 2).sum(1)
+        each[at] = lengths
+        out = np.empty(int(each.sum()), np.uint32)
+        is_odd = np.zeros(len(chunks), bool)
+        is_odd[at] = True
+        from_odd = np.repeat(is_odd, each)
+        out[from_odd], out[~from_odd] = whole, pairs
+        self.chunk_ids.add(out, each)
+
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = self._encoded(texts)
+        return ids, np.cumsum(lengths)[:-1]
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. Null is an empty text."""
@@ -60,11 +120,8 @@ class WordEncoder:
         chunk = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(n_chunks.sum()))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        lengths = self.lengths[chunk]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[chunk] - ends + lengths, lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_chunks)])]
+        ids, lengths = self.chunk_ids.of(chunk)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_chunks)])]
         return ids, np.diff(bounds)
 
     def documents(self, texts: Sequence[str | None], end_id: int) -> Iterator[np.ndarray]:
@@ -87,3 +144,9 @@ def slices(texts: Sequence[str | None], most: int = SLICE_BYTES) -> Iterator[Seq
             begin, held = i + 1, 0
     if begin < len(texts):
         yield texts[begin:]
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python process, so that tasks which follow one another find the words that it knows."""
+    return WordEncoder(path)

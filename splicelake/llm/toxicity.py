@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from splicelake.llm.labelled import labelled_sample
 from splicelake.llm.tokenizer import slices
@@ -101,7 +102,7 @@ class Model:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, only: Column | None = None, target: str = "toxic", rows: int = TRAIN_ROWS,
-    bits: int = BITS, epochs: int = 3, l1: float = 1.0, alpha: float = 0.1,
+    bits: int = BITS, epochs: int = 6, l1: float = 4.0, l2: float = 0.1, alpha: float = 1.0,
 ) -> Model:
     """Fits on up to ``rows`` labelled documents, whole texts; ``only`` keeps labels out of training.
 
@@ -123,7 +124,7 @@ def fit(
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.frombuffer(at, "<u4"), label) for b in batches for label, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        model = Ftrl(1 << bits, alpha=alpha, l1=l1)
+        model = Ftrl(1 << bits, alpha=alpha, l1=l1, l2=l2)
         for _ in range(epochs):
             for at, label in held:
                 model.learn(at, label)
@@ -145,7 +146,7 @@ def score(docs: DataFrame, model: Model, *, out: str = "score") -> DataFrame:
     """
     docs = docs.drop(out)
     text_at = docs.columns.index("text")
-    schema = docs.schema.add(out, "double")
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << model.bits)
