@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import media, mixing, packing, quality, sharding, simhash, tokenids, toxicity
+from splicelake.llm import linededup, media, mixing, packing, quality, sharding, simhash, tokenids, toxicity
 from splicelake.llm.common import checkpointed, table, word_count
 
 SHARDS = 16
@@ -66,6 +66,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line occurrence that fuzzy line deduplication removes, and the one that stays for it."""
+    removed = linededup.removed_lines(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "line", "kept_doc_id", "kept_line", "exact")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_quality_rules": op8_quality_rules,
