@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import linededup, media, mixing, packing, quality, sharding, simhash, tokenids, toxicity
+from splicelake.llm import linededup, media, mixing, packing, passages, quality, sharding, simhash, tokenids, toxicity
 from splicelake.llm.common import checkpointed, table, word_count
 
 SHARDS = 16
@@ -72,6 +72,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select("doc_id", "line", "kept_doc_id", "kept_line", "exact")
 
 
+def op5_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -122,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_shared_passages": op5_shared_passages,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_quality_rules": op8_quality_rules,

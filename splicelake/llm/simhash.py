@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.llm.common import checkpointed
@@ -83,8 +83,11 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS)
     has 27 bits, so chance meetings stay few. Rows of a key come sorted to one task as a stream; up to 2048 are compared
     bit by bit and their links given as stars, not as pairs. Fingerprints of larger keys pass on: two of them at distance
     4 have a midpoint at distance 2 of both, so each is sent to the 2081 midpoints about it and joined to the least node
-    of each. A midpoint has 2081 fingerprints about it at most, so no group is unbounded and no link is lost.
+    of each. A midpoint has 2081 fingerprints about it at most, so no group is unbounded and no link is lost. Likewise
+    for any even distance.
     """
+    if distance % 2:
+        raise ValueError("an even distance is needed, so that pairs have midpoints")
     masks = _masks(blocks, distance)
     keyed = prints.select("_fp", "_node", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("_fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("_k")).select("_k.*", "_fp", "_node")
 
@@ -114,14 +117,13 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS)
     found = checkpointed(placed.mapInArrow(run, "a long, b long, passed boolean"))
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        i, j = np.triu_indices(64, 1)
-        around = np.concatenate([[np.uint64(0)], bit, bit[i] | bit[j]])
+        around = _ball(distance // 2)
         for batch in batches:
             nodes, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for at in range(0, len(nodes), 256):
-                middle = (prints[at : at + 256, None] ^ around).ravel().view(np.int64)
-                yield pa.record_batch([pa.array(middle), pa.array(np.repeat(nodes[at : at + 256], len(around)))], ["middle", "node"])
+            step = max(1, (1 << 19) // len(around))
+            for at in range(0, len(nodes), step):
+                middle = (prints[at : at + step, None] ^ around).ravel().view(np.int64)
+                yield pa.record_batch([pa.array(middle), pa.array(np.repeat(nodes[at : at + step], len(around)))], ["middle", "node"])
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle_now = root = None
@@ -141,13 +143,22 @@ def links(prints: DataFrame, *, distance: int = DISTANCE, blocks: int = BLOCKS)
     return found.where("not passed").select("a", "b").unionByName(more)
 
 
+def _ball(radius: int) -> np.ndarray:
+    """All words of 64 bits with ``radius`` ones or fewer."""
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    ball = np.zeros(1, np.uint64)
+    for _ in range(radius):
+        ball = np.unique(np.concatenate([ball, (ball[:, None] ^ bit).ravel()]))
+    return ball[np.bitwise_count(ball) <= radius]
+
+
 def _links_batch(out: list[tuple[int, int]], passed: list[np.ndarray]) -> pa.RecordBatch:
     rows = np.concatenate([np.array(out, np.int64).reshape(-1, 2), *passed])
     flags = np.arange(len(rows)) >= len(out)
     return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(flags)], ["a", "b", "passed"])
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the least doc_id that links reach.
 
     Equal fingerprints are one node, so copies are never paired. Null and empty texts have fingerprint zero and are
@@ -157,8 +168,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     """
     prints = checkpointed(fingerprints(docs, shingle=shingle))
     nodes = checkpointed(prints.groupBy("_fp").agg(F.min("doc_id").alias("_node")))
-    found = components(links(nodes.where("_node is not null"), distance=distance), "a", "b")
+    found = components(links(nodes.where("_node is not null"), distance=distance, blocks=blocks), "a", "b")
     named = nodes.join(found.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.select(fresh("_fp").alias("_fp"), F.coalesce("root", "_node").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
     return prints.join(named, "_fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the least doc_id, of several the least text.
+
+    Rows with a null doc_id all stay, as nothing names them.
+    """
+    found = near_duplicates(docs, shingle=shingle, distance=distance, blocks=blocks)
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    named = docs.where("doc_id is not null").join(stays, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return named.withColumn("_place", place).where("_place = 1").drop("_place").unionByName(docs.where("doc_id is null"))
