@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from splicelake.catalog import ORACLES, QUERIES, alignments, coverage, hits, intervals, junctions, reads, samtables, sequences, variants
+
+__all__ = ["ORACLES", "QUERIES", "alignments", "coverage", "flagship", "hits", "intervals", "junctions", "reads", "samtables", "sequences", "variants"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Supported introns, whether they are accepted, and their track rows."""
+    return QUERIES["snk_junc_bed"](spark, sf_dir)
