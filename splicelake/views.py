@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _BASES = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 _TO_BASES = """regexp_replace(translate({text},
-  'bdefhijklmopqrsuvwxyzacgtBDEFHIJKLMOPQRSUVWXYZ',
+  'bdefhijklmopqrsuvwxyzacgtBDEFHIJKLMOPQRSUVWXYZ .,',
   'ACGTACGTACGTACGTACGTAACGTACGTACGTACGTACGTACGTA'), '[^ACGT]', 'N'@G@)"""
 
 #: A row's number in its order: order and line number alone do not name a row.
@@ -51,8 +51,8 @@ VIEWS: dict[str, str] = {
       'rg' || (l_partkey % 4) as rg, -(cast(floor(l_tax * 100 + 0.5) as bigint) % 9) as as_score, cast(floor(l_discount * 100 + 0.5) as bigint) % 4 as nm,
       case when l_partkey % 5 = 0 then null when l_suppkey % 2 = 0 then '+' else '-' end as xs
       from {lineitem}""",
-    "v_reads": f"""select doc_id as read_id, cast(1 + doc_id % 2 as int) as mate, 'read' || doc_id as name, {_TO_BASES.format(text="substr(text, 1, 120)")} as seq,
-      substr(repeat(translate(md5('q' || doc_id), '0123456789abcdef', '56789ABCDEFGHIJK'), 4), 1, length(substr(text, 1, 120))) as qual from {{documents}}""",
+    "v_reads": f"""select read_id, mate, name, seq, substr(repeat(translate(md5('q' || read_id), '0123456789abcdef', '56789ABCDEFGHIJK'), 4), 1, length(seq)) as qual
+      from (select doc_id as read_id, cast(1 + doc_id % 2 as int) as mate, 'read' || doc_id as name, {_TO_BASES.format(text="substr(text, 1, 120)")} as seq from {{documents}}) x""",
     "v_genome": f"""select 'p' || page_id as contig, {_TO_BASES.format(text="substr(html, 1, 4000)")} as seq from {{pages}}""",
     "v_intervals": """select event_id, 'u' || (user_id % 8) as chrom, event_id * 37 % 50000 as iv_begin,
       event_id * 37 % 50000 + 1 + cast(floor(abs(value)) as bigint) % 500 as iv_end from {events}""",
