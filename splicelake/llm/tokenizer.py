@@ -10,8 +10,8 @@ from itertools import chain, islice
 
 import numpy as np
 
-#: Bytes of text that are split at once, and distinct chunks that one task remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
+#: Bytes of text that are split at once, and distinct pieces that one worker remembers.
+SLICE_BYTES, REMEMBERED = 4 << 20, 1_200_000
 
 
 class _Places(dict):
@@ -43,16 +43,18 @@ class _Runs:
 class WordEncoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    For tokenizers that lower-case, whose pieces never span ASCII white space and that drop it, and that give a run of
-    letters one piece (here: a split pattern of letter runs, digits and other runs, and an end mark on each piece's last
-    token). A text's ids are then those of its white-space separated chunks in a row, so each distinct chunk is encoded
-    once and found again in a table. A new chunk of Latin letters and closing punctuation is a word and its punctuation,
-    known by themselves; new words are encoded many at a time and told apart by the end mark. Other chunks are encoded
-    whole. The tables are bounded and start anew when full.
+    For tokenizers that lower-case, drop white space, and encode by themselves the pieces that a fixed pattern finds:
+    contractions, runs of letters, single digits, runs of anything else, with an end mark on each piece's last token.
+
+    A plain text (ASCII and composed Latin-1 letters, no special token) is cut into those pieces here. Any other text is
+    cut at ASCII white space, which no piece spans. Each distinct piece or chunk is encoded once and found again in a
+    table. New words go to the tokenizer many in one text and are told apart by the end mark. The table is bounded and
+    starts anew when full.
     """
 
-    #: Letters A-Z, and U+00C0 to U+00FF without the two signs there, all of them composed; then common punctuation.
-    plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
+    letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    unusual = re.compile(rf"[^{letters}0-9\t-\r\x20-\x7e]|<\|").search
+    pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9\t-\r ]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,62 +68,38 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.parts = _Places(), _Places()
-        self.chunk_ids, self.part_ids = _Runs(), _Runs()
-        self.parts[""] = 0
-        self.part_ids.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.known, self.ids = _Places(), _Runs()
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Adds the ids of new chunks, in this order."""
-        before, place = len(self.parts), self.parts.__getitem__
-        word, tail, odd = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), []
-        for i, chunk in enumerate(chunks):
-            text = chunk.decode()
-            if m := self.plain(text):
-                word[i], tail[i] = place(m[1].lower()), place(m[2])
-            else:
-                odd.append((i, text))
-        fresh = list(islice(self.parts, before, None))
-        words = [x for x in fresh if x.isalpha()]
-        marks = [x for x in fresh if not x.isalpha()]
+    def _learn(self, keys: list[str | bytes]) -> None:
+        """Adds the ids of new pieces (str) and chunks (bytes), in this order."""
+        is_word = np.fromiter((isinstance(k, str) and k.isalpha() for k in keys), bool, len(keys))
+        words = [k for k, w in zip(keys, is_word.tolist(), strict=True) if w]
         joined, _ = self._encoded([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
-        ends = np.flatnonzero(self.ends[joined]) + 1
-        ids = np.split(joined, ends[:-1]) if len(words) else []
-        of = dict(zip(words, ids, strict=True)) | dict(zip(marks, np.split(*self._split(marks)), strict=False))
-        self.part_ids.add(np.concatenate([*(of[x] for x in fresh), np.zeros(0, np.uint32)]), np.fromiter((len(of[x]) for x in fresh), np.int64, len(fresh)))
-        whole, lengths = self._encoded([t for _, t in odd])
-        pairs, sizes = self.part_ids.of(np.stack([word, tail], 1).ravel())
-        at = np.array([i for i, _ in odd], np.int64)
-        each = sizes.reshape(-1, 2).sum(1)
-        each[at] = lengths
-        out = np.empty(int(each.sum()), np.uint32)
-        is_odd = np.zeros(len(chunks), bool)
-        is_odd[at] = True
-        from_odd = np.repeat(is_odd, each)
-        out[from_odd], out[~from_odd] = whole, pairs
-        self.chunk_ids.add(out, each)
-
-    def _split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = self._encoded(texts)
-        return ids, np.cumsum(lengths)[:-1]
+        whole, sizes = self._encoded([k if isinstance(k, str) else k.decode() for k, w in zip(keys, is_word.tolist(), strict=True) if not w])
+        lengths = np.empty(len(keys), np.int64)
+        lengths[is_word] = np.diff(np.concatenate([[0], np.flatnonzero(self.ends[joined]) + 1]))
+        lengths[~is_word] = sizes
+        out, from_word = np.empty(int(lengths.sum()), np.uint32), np.repeat(is_word, lengths)
+        out[from_word], out[~from_word] = joined, whole
+        self.ids.add(out, lengths)
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text. Null is an empty text."""
         if len(self.known) > REMEMBERED:
             self._forget()
         before = len(self.known)
-        per_text = [(t or "").encode().split() for t in texts]
-        n_chunks = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        chunk = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(n_chunks.sum()))
+        per_text = [t.encode().split() if self.unusual(t) else self.pieces(t.lower()) for t in (t or "" for t in texts)]
+        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(per_text)), np.int64, int(counts.sum()))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
-        ids, lengths = self.chunk_ids.of(chunk)
-        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n_chunks)])]
+        ids, lengths = self.ids.of(place)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
     def documents(self, texts: Sequence[str | None], end_id: int) -> Iterator[np.ndarray]:
