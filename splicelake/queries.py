@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splicelake.catalog import ORACLES, QUERIES, alignments, coverage, hits, intervals, junctions, reads, samtables, sequences, sources, variants
+from splicelake.catalog import ORACLES, QUERIES, alignments, coverage, fusions, hits, intervals, junctions, reads, samtables, sequences, sources, variants
 
-__all__ = ["ORACLES", "QUERIES", "alignments", "coverage", "flagship", "hits", "intervals", "junctions", "reads", "samtables", "sequences", "sources", "variants"]
+__all__ = ["ORACLES", "QUERIES", "alignments", "coverage", "flagship", "fusions", "hits", "intervals", "junctions", "reads", "samtables", "sequences", "sources", "variants"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
