@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -135,3 +136,89 @@ def dense(sites: DataFrame, *, window: int, most: int) -> DataFrame:
     """SNPs with more than ``most`` SNPs within ``window`` bases about them."""
     w = Window.partitionBy("contig").orderBy("pos").rangeBetween(-window, window)
     return sites.where(~is_indel()).withColumn("n_near", F.count(F.lit(1)).over(w)).where(F.col("n_near") > most)
+
+
+def likelihoods(pile: DataFrame, *, keep: float = 0.83) -> DataFrame:
+    """Phred likelihoods ``pl0`` to ``pl2`` of the genotypes of each site and sample, least one 0, at most 255.
+
+    Errors of one strand and base depend on one another: the k-th best of them counts ``keep`` to the power k - 1. A
+    heterozygous genotype halves each base's chance.
+    """
+    w = Window.partitionBy("contig", "pos", "sample", "base", "reverse").orderBy(F.desc("base_q"), "read_no", "ord", "map_q", "qpos")
+    weighed = pile.where("not is_del").withColumn("_q", F.col("base_q") * F.pow(F.lit(keep), F.row_number().over(w) - 1))
+    side = lambda test: F.sum(F.when(test, F.col("_q")).otherwise(0.0))
+    is_ref = F.col("base") == F.col("ref")
+    rows = weighed.groupBy("contig", "pos", "sample").agg(side(~is_ref).alias("a"), side(is_ref).alias("c"), (F.count(F.lit(1)) * 3.0103).alias("b"))
+    low = F.least("a", "b", "c")
+    return rows.select("contig", "pos", "sample", *(F.least(F.lit(255), F.floor(F.col(x) - low + 0.5)).cast("long").alias(f"pl{k}") for k, x in enumerate("abc")))
+
+
+def ld(likelihood: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``r2`` of pairs of sites (``a``, ``b``): squared correlation of their samples' most probable allele counts; null
+    where one does not vary."""
+    count = F.when((F.col("pl0") <= F.col("pl1")) & (F.col("pl0") <= F.col("pl2")), 0).when(F.col("pl1") <= F.col("pl2"), 1).otherwise(2)
+    dose = likelihood.select("site", "sample", count.alias("d"))
+    x = dose.select(F.col("site").alias("a"), "sample", F.col("d").alias("x"))
+    y = dose.select(F.col("site").alias("b"), "sample", F.col("d").alias("y"))
+    sums = pairs.join(x, "a").join(y, ["b", "sample"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
+    )
+    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    var = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    return sums.select("a", "b", "n", F.when(var > 0, cov.cast("double") * cov / var).alias("r2"))
+
+
+def _fisher(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact p-value of a table of two rows: all tables with these margins that are no more probable."""
+    n1, m1, n = a + b, a + c, a + b + c + d
+    choose = lambda p, q: lgamma(p + 1) - lgamma(q + 1) - lgamma(p - q + 1)
+    at = lambda k: choose(m1, k) + choose(n - m1, n1 - k) - choose(n, n1)
+    seen = at(a) + 1e-7
+    return min(1.0, sum(exp(p) for k in range(max(0, n1 + m1 - n), min(n1, m1) + 1) if (p := at(k)) <= seen))
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
+    value = 1.0  # from the last term of the fraction back to the first
+    for i in range(120, 0, -1):
+        m = i // 2
+        step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = 1 + step / value
+    return front / value
+
+
+def _t_test(n1: int, s1: float, q1: float, n2: int, s2: float, q2: float) -> float:
+    """One-sided p-value that the second mean is not below the first, from counts, sums and sums of squares; 1 without
+    spread or with fewer than two in either."""
+    if n1 < 2 or n2 < 2:
+        return 1.0
+    m1, m2 = s1 / n1, s2 / n2
+    if m1 <= m2:
+        return 1.0
+    pooled = (q1 - n1 * m1 * m1 + q2 - n2 * m2 * m2) / (n1 + n2 - 2)
+    if pooled <= 0:
+        return 0.0
+    t = (m1 - m2) / sqrt(pooled * (1 / n1 + 1 / n2))
+    df = n1 + n2 - 2
+    return 0.5 * _beta(df / (df + t * t), df / 2, 0.5)
+
+
+def bias_p_values(sums: DataFrame) -> DataFrame:
+    """Strand, base quality, mapping quality and end distance p-values of rows of ``anno16``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            n1, n2 = p["ref_fwd"] + p["ref_rev"], p["alt_fwd"] + p["alt_rev"]
+            out = p[["contig", "pos", "sample"]].copy()
+            out["p_strand"] = [_fisher(*map(int, r)) for r in p[["ref_fwd", "ref_rev", "alt_fwd", "alt_rev"]].to_numpy()]
+            for name in ("bq", "mq", "end"):
+                columns = (n1, p[f"{name}_ref"], p[f"{name}2_ref"], n2, p[f"{name}_alt"], p[f"{name}2_alt"])
+                out[f"p_{name}"] = [_t_test(*r) for r in zip(*(c.tolist() for c in columns), strict=True)]
+            yield out
+
+    return sums.mapInPandas(run, "contig string, pos long, sample string, p_strand double, p_bq double, p_mq double, p_end double")

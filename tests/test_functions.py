@@ -115,3 +115,11 @@ def test_text_edges(spark):
     site = T.vcf(lines("##x", "c\t10\t.\tA\tC,G\t3.5\tPASS\tDP=4;AF=0.5\tGT:DP\t0/1:3\t1/1")).first()
     assert (site.pos, site.alt, site.info["DP"], site.samples[0]["DP"], site.samples[1]) == (9, ["C", "G"], "4", "3", {"GT": "1/1"})
     assert T.looks_like(lines("", "@r")) == "fastq"
+
+
+def test_p_values():
+    assert abs(V._fisher(8, 2, 1, 5) - 0.034965) < 1e-5
+    assert abs(V._fisher(5, 5, 5, 5) - 1) < 1e-9
+    assert abs(V._beta(0.3, 2.0, 3.0) - 0.3483) < 1e-4
+    # means 10 and 8 of five each with unit variance: t = 3.162 at 8 degrees
+    assert abs(V._t_test(5, 50, 504, 5, 40, 324) - 0.00667) < 1e-4
