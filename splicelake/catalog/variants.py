@@ -213,11 +213,11 @@ def _(t: Tables) -> DataFrame:
     return t.v_genotypes.join(t.v_variants.where("known"), "site").select("contig", "pos", "ref", "alt", "sample")
 
 
-@register("var_from_pileup", "WITH c AS (SELECT contig, pos, ref, base, count(*) AS n FROM v_pileup WHERE NOT is_del GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY n DESC, base) AS k FROM c) SELECT contig, pos + 1 AS pos, ref, base AS alt, n FROM b WHERE k = 1 AND base <> ref")
+@register("var_from_pileup", "WITH c AS (SELECT contig, pos, ref, base, count(*) AS n FROM v_pileup WHERE NOT is_del AND base <> ref GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY contig, pos ORDER BY n DESC, base) AS k FROM c) SELECT contig, pos + 1 AS pos, ref, base AS alt, n FROM b WHERE k = 1")
 def _(t: Tables) -> DataFrame:
-    per = t.v_pileup.where("not is_del").groupBy("contig", "pos", "ref", "base").agg(F.count(F.lit(1)).alias("n"))
+    per = t.v_pileup.where("not is_del and base != ref").groupBy("contig", "pos", "ref", "base").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("contig", "pos").orderBy(F.desc("n"), "base")
-    return per.withColumn("k", F.row_number().over(w)).where("k = 1 and base != ref").select("contig", (F.col("pos") + 1).alias("pos"), "ref", F.col("base").alias("alt"), "n")
+    return per.withColumn("k", F.row_number().over(w)).where("k = 1").select("contig", (F.col("pos") + 1).alias("pos"), "ref", F.col("base").alias("alt"), "n")
 
 
 @register("var_consensus_fq", "SELECT contig, pos // 1000 AS tile, string_agg(CASE WHEN depth < 10 OR mq < 10 THEN lower(alt) ELSE alt END, '' ORDER BY pos, site) AS seq FROM v_variants GROUP BY contig, pos // 1000")
