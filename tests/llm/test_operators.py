@@ -380,6 +380,21 @@ def test_fuzzy_lines(spark, monkeypatch):
         assert {r.kept_doc_id for r in removed.collect()} == {0, 90}
 
 
+def test_lines_with_changed_words_are_found(spark):
+    """One word in eight, and short words only: the fingerprints of such lines are far apart or there are none."""
+    rng = random.Random(11)
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(low, high)))
+    rows = []
+    for i in range(200):
+        words = [word(*((5, 8) if i % 2 else (2, 4))) for _ in range(rng.randint(8, 40))]
+        rows.append((i, " ".join(words)))
+        for at in range(3, len(words), 8):
+            words[at] = word(len(words[at]), len(words[at]))
+        rows.append((1000 + i, " ".join(words)))
+    gone = {r.doc_id for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone & set(range(1000, 1200))) >= 198 and not gone & set(range(200))
+
+
 def test_edit_similarity(spark):
     pairs = [("abcde", "abcdx", True), ("abcde", "abxyz", False), ("a" * 5000, "a" * 4500 + "b" * 400, True), ("a" * 5000, "b" * 5000, False), ("a" * 2500, "a" * 1000, False)]
     df = spark.createDataFrame(pairs, "x string, y string, want boolean").select("want", linededup.similar("x", "y", 0.8).alias("got"))
