@@ -395,6 +395,19 @@ def test_lines_with_changed_words_are_found(spark):
     assert len(gone & set(range(1000, 1200))) >= 198 and not gone & set(range(200))
 
 
+def test_lines_of_crowded_keys_are_all_compared(spark, monkeypatch):
+    """All lines have one fingerprint and one phrase, and most are unlike; each has one partner."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=4)) for _ in range(900)]
+    rows = []
+    for i in range(30):
+        line = ["encyclopaedias", "of", "the", *rng.sample(words, 12)]
+        rows += [(i, " ".join(line)), (100 + i, " ".join([*line[:8], "new", *line[9:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(linededup, "COMPARED", 4)
+    assert sorted(r.doc_id for r in linededup.removed_lines(df).collect()) == [*range(100, 130)]
+
+
 def test_edit_similarity(spark):
     pairs = [("abcde", "abcdx", True), ("abcde", "abxyz", False), ("a" * 5000, "a" * 4500 + "b" * 400, True), ("a" * 5000, "b" * 5000, False), ("a" * 2500, "a" * 1000, False)]
     df = spark.createDataFrame(pairs, "x string, y string, want boolean").select("want", linededup.similar("x", "y", 0.8).alias("got"))
