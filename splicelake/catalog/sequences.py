@@ -106,7 +106,7 @@ def _(t: Tables) -> DataFrame:
 @register("seq_mutate", "WITH c AS (SELECT 'p' || page_id AS contig, page_id % 40 AS pos FROM pages) SELECT contig, CASE WHEN length(seq) > pos THEN substr(seq, 1, CAST(pos AS INTEGER)) || 'T' || substr(seq, CAST(pos AS INTEGER) + 2) ELSE seq END AS seq FROM v_genome JOIN c USING (contig)")
 def _(t: Tables) -> DataFrame:
     changes = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("contig"), (F.col("page_id") % 40).alias("pos"), F.lit("T").alias("base"))
-    return Q.mutated(t.v_genome, changes)
+    return Q.mutated(t.v_genome, changes, size=1 << 20).select("contig", "seq")
 
 
 MASK = "SELECT contig, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS f FROM (SELECT contig, greatest(s, 0) AS s, e FROM ({0}) WHERE e > 0))) GROUP BY contig, g"

@@ -38,9 +38,16 @@ def depths(changes: DataFrame, *, cap: int | None = None) -> DataFrame:
 
 def runs(depth: DataFrame) -> DataFrame:
     """Half-open runs of equal depth, those of depth 0 left out: ``contig``, ``start``, ``end``, ``depth``."""
-    w = Window.partitionBy("contig").orderBy("spot")
-    changed = depth.withColumn("_before", F.lag("depth").over(w)).where("_before is null or _before != depth").drop("_before")
-    return changed.select("contig", F.col("spot").alias("start"), F.lead("spot").over(w).alias("end"), "depth").where("depth > 0 and end is not null")
+    bins, inside = Window.partitionBy("contig").orderBy("_bin"), Window.partitionBy("contig", "_bin").orderBy("spot")
+    binned = depth.withColumn("_bin", F.floor(F.col("spot") / BIN))
+    # the last depth before each bin and the first change after it, from one row a bin
+    last = binned.groupBy("contig", "_bin").agg(F.max_by("depth", "spot").alias("_d"))
+    binned = binned.join(last.select("contig", "_bin", F.lag("_d").over(bins).alias("_carry")), ["contig", "_bin"])
+    changed = binned.withColumn("_before", F.coalesce(F.lag("depth").over(inside), "_carry")).where("_before is null or _before != depth").drop("_before", "_carry")
+    first = changed.groupBy("contig", "_bin").agg(F.min("spot").alias("_s"))
+    changed = changed.join(first.select("contig", "_bin", F.lead("_s").over(bins).alias("_next")), ["contig", "_bin"])
+    end = F.coalesce(F.lead("spot").over(inside), "_next")
+    return changed.select("contig", F.col("spot").alias("start"), end.alias("end"), "depth").where("depth > 0 and end is not null")
 
 
 def bedgraph(found: DataFrame, *, longest: int = 10_000_000) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions.sequence import hamming
+from splicelake.operators import sequences as Q
 
 
 def few_hits(segments: DataFrame, most: int = 40) -> DataFrame:
@@ -40,8 +41,7 @@ def top_junctions(juncs: DataFrame, most: int) -> DataFrame:
 
 def sites(genome: DataFrame, motif: str) -> DataFrame:
     """Places (from 0) of a two-base motif: ``contig``, ``at``."""
-    starts = F.filter(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substr(F.col("seq"), i, F.lit(2)) == motif)
-    return genome.where(F.length("seq") > 1).select("contig", F.explode(starts).alias("_i")).select("contig", (F.col("_i") - 1).cast("long").alias("at"))
+    return Q.words(genome, 2).where(F.col("bases") == motif).select("contig", "at")
 
 
 def site_pairs(donors: DataFrame, acceptors: DataFrame, *, least: int, most: int) -> DataFrame:
@@ -56,22 +56,23 @@ def site_pairs(donors: DataFrame, acceptors: DataFrame, *, least: int, most: int
 
 def with_flanks(pairs: DataFrame, genome: DataFrame, n: int = 5) -> DataFrame:
     """Adds ``flank``: ``n`` bases before the donor and ``n`` from the acceptor on, where both are whole."""
-    both = pairs.join(genome, "contig")
-    text = F.concat(F.substr("seq", (F.col("donor") - n + 1).cast("int"), F.lit(n)), F.substr("seq", (F.col("acceptor") + 1).cast("int"), F.lit(n)))
-    return both.where((F.col("donor") >= n) & (F.col("acceptor") + n <= F.length("seq"))).withColumn("flank", text).drop("seq")
+    bases = Q.words(genome, n)
+    before = bases.select("contig", (F.col("at") + n).alias("donor"), F.col("bases").alias("_l"))
+    after = bases.select("contig", F.col("at").alias("acceptor"), F.col("bases").alias("_r"))
+    return pairs.join(before, ["contig", "donor"]).join(after, ["contig", "acceptor"]).withColumn("flank", F.concat("_l", "_r")).drop("_l", "_r")
 
 
 def butterfly(donors: DataFrame, acceptors: DataFrame, genome: DataFrame, kmers: DataFrame, *, least: int, most: int, n: int = 5) -> DataFrame:
-    """The pairs that a read spans, by equality only: donors meet read k-mers on the bases before them, the k-mers' other
-    half meets acceptors on the bases after them, and the intron length is a filter."""
+    """The pairs that a read spans, by equality only: donors meet read k-mers on the bases before them; the k-mers' other half
+    and the bins that the donor's reach covers meet acceptors on the bases after them. The intron length is a filter."""
     halves = kmers.select(F.substring("kmer", 1, n).alias("_l"), F.substring("kmer", n + 1, n).alias("_r")).distinct()
-    seq = genome.select("contig", "seq")
-    d = donors.join(seq, "contig").where(F.col("at") >= n).select("contig", F.col("at").alias("donor"), F.substr("seq", (F.col("at") - n + 1).cast("int"), F.lit(n)).alias("_l"))
-    a = acceptors.join(seq, "contig").where(F.col("at") + 2 + n <= F.length("seq")).select("contig", (F.col("at") + 2).alias("acceptor"), F.substr("seq", (F.col("at") + 3).cast("int"), F.lit(n)).alias("_r"))
-    per = d.groupBy("contig", "_l").agg(F.collect_set("donor").alias("_d"))  # places of five bases on one contig
-    met = per.join(halves, "_l").join(a, ["contig", "_r"]).select("contig", F.explode("_d").alias("donor"), "acceptor")
+    bases = Q.words(genome, n)
+    d = donors.select("contig", F.col("at").alias("donor")).join(bases.select("contig", (F.col("at") + n).alias("donor"), F.col("bases").alias("_l")), ["contig", "donor"])
+    a = acceptors.select("contig", (F.col("at") + 2).alias("acceptor")).join(bases.select("contig", F.col("at").alias("acceptor"), F.col("bases").alias("_r")), ["contig", "acceptor"])
+    reach = F.sequence(F.floor((F.col("donor") + least) / most), F.floor((F.col("donor") + most - 1) / most))
+    met = d.join(halves, "_l").withColumn("_b", F.explode(reach)).join(a.withColumn("_b", F.floor(F.col("acceptor") / most)), ["contig", "_r", "_b"])
     length = F.col("acceptor") - F.col("donor")
-    return met.where((length >= least) & (length < most)).distinct()
+    return met.where((length >= least) & (length < most)).select("contig", "donor", "acceptor").distinct()
 
 
 def splits(read: Column, left: Column, right: Column, *, most: int = 2, motifs: tuple[tuple[str, str], ...] = (("GT", "AG"), ("GC", "AG"), ("AT", "AC"))) -> Column:
@@ -145,16 +146,15 @@ def closures(pairs: DataFrame, introns: DataFrame, *, mean: int, sd: int) -> Dat
 
 def kmer_map(kmers: DataFrame, genome: DataFrame, *, size: int = 20, mismatches: int = 1, most: int = 100) -> DataFrame:
     """Places of k-mers in the genome with ``mismatches`` or fewer: ``kmer``, ``contig``, ``at``, ``errors``. Cut into one piece
-    more than mismatches, a k-mer has a piece without any, and pieces join genome k-mers by equality. ``most`` places a
-    k-mer are kept, in order."""
+    more than mismatches, a k-mer has a piece without any, and pieces join genome k-mers by equality. A k-mer
+    with more than ``most`` places is left out whole."""
     step = size // (mismatches + 1)
     pieces = kmers.select("kmer", F.posexplode(F.array(*[F.substring("kmer", 1 + i * step, step) for i in range(mismatches + 1)])).alias("_i", "_p"))
-    spots = genome.where(F.length("seq") >= size).select("contig", F.explode(F.sequence(F.lit(1), F.length("seq") - size + 1)).alias("_s"), "seq").select("contig", "_s", F.substr("seq", "_s", F.lit(size)).alias("_w"))
+    spots = Q.words(genome, size).select("contig", F.col("at").alias("_s"), F.col("bases").alias("_w"))
     spots = spots.select("contig", "_s", "_w", F.posexplode(F.array(*[F.substring("_w", 1 + i * step, step) for i in range(mismatches + 1)])).alias("_i", "_p"))
     met = pieces.join(spots, ["_i", "_p"]).withColumn("errors", hamming(F.col("kmer"), F.col("_w"))).where(F.col("errors") <= mismatches)
-    found = met.select("kmer", "contig", (F.col("_s") - 1).cast("long").alias("at"), "errors").distinct()
-    w = Window.partitionBy("kmer").orderBy("contig", "at")
-    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    found = met.select("kmer", "contig", F.col("_s").alias("at"), "errors").distinct()
+    return found.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("kmer"))).where(F.col("_k") <= most).drop("_k")
 
 
 def lifted(hits: DataFrame, exons: DataFrame) -> DataFrame:

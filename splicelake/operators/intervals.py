@@ -60,12 +60,33 @@ def point_join(points: DataFrame, contig: str, at: str, right: Side, *, how: str
     return met if how == "inner" else points.join(met.select(*key).distinct(), [*key], f"left_{how}")
 
 
+#: Positions of a bin when a contig's rows are taken in order.
+BIN = 1 << 16
+
+
+def earlier(rows: DataFrame, contig: str, value: Column, name: str) -> DataFrame:
+    """``rows``, which have ``_bin``, with ``name``: the greatest ``value`` in earlier bins of the contig, null in the first.
+
+    Bins are summed up first, so the only window over a contig sees one row a bin.
+    """
+    w = Window.partitionBy(contig).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(contig, "_bin").agg(F.max(value).alias("_far"))
+    return rows.join(per.select(contig, "_bin", F.max("_far").over(w).alias(name)), [contig, "_bin"])
+
+
 def merged(rows: DataFrame, contig: str, start: str, end: str, *, touching: bool = True) -> DataFrame:
-    """Union of intervals: ``contig``, ``start``, ``end`` and ``n``, the rows in each."""
-    w = Window.partitionBy(contig).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | ((F.col(start) > reach) if touching else (F.col(start) >= reach)), 1).otherwise(0)
-    grouped = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Union of intervals: ``contig``, ``start``, ``end`` and ``n``, the rows in each.
+
+    In bins of starts: what reaches into a bin is the furthest end of those before, and an interval that begins nothing new
+    belongs to the last start that did. Only bin totals are seen by contig.
+    """
+    binned = earlier(rows.withColumn("_bin", F.floor(F.col(start) / BIN)), contig, F.col(end), "_carry")
+    w = Window.partitionBy(contig, "_bin").orderBy(start, end)
+    reach = F.greatest("_carry", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = reach.isNull() | ((F.col(start) > reach) if touching else (F.col(start) >= reach))
+    opened = earlier(binned.withColumn("_new", F.when(new, F.col(start))), contig, F.col("_new"), "_open")
+    own = F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = opened.withColumn("_island", F.coalesce(own, "_open"))
     return grouped.groupBy(contig, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 

@@ -74,11 +74,19 @@ def final(juncs: DataFrame, *, anchor: int = 8) -> DataFrame:
     return juncs.where((F.col("supporting_hits") > 0) & (F.least("left_extent", "right_extent") >= anchor))
 
 
+#: Bases of a cell in which junctions are numbered.
+CELL = 1 << 20
+
+
 def bed(juncs: DataFrame) -> DataFrame:
-    """Rows of a twelve-column track. Names number the junctions in the order of their key."""
+    """Rows of a twelve-column track. Names number the junctions in the order of their key: in cells of a contig, with the
+    number of junctions in the cells before, so that no task sorts all."""
     start, end = F.col("left") + 1 - F.col("left_extent"), F.col("right") + F.col("right_extent")
-    number = F.row_number().over(Window.orderBy(*KEY))  # aggregated rows, at the sink only
-    return juncs.select(
+    cell = F.floor(F.col("left") / CELL).alias("_cell")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("contig", "_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a cell
+    cells = juncs.groupBy("contig", cell).agg(F.count(F.lit(1)).alias("_n")).select("contig", "_cell", before.alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("contig", "_cell").orderBy(*KEY))
+    return juncs.withColumn("_cell", cell).join(cells, ["contig", "_cell"]).select(
         F.col("contig").alias("chrom"), start.alias("bed_start"), end.alias("bed_end"), F.format_string("JUNC%08d", number).alias("name"), F.col("supporting_hits").alias("score"),
         F.when(F.col("antisense"), "-").otherwise("+").alias("strand"), F.concat_ws(",", "left_extent", "right_extent").alias("sizes"), F.concat(F.lit("0,"), (F.col("right") - start).cast("string")).alias("starts"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.functions import sequence as S
@@ -61,7 +61,12 @@ def from_alignments(sam: DataFrame, *, which: str = "unmapped", keep_failed: boo
 
 
 def numbered(text: DataFrame, per: int) -> DataFrame:
-    """Lines of ``value`` in file order with ``number``, the record of ``per`` lines that each is in, and ``line``."""
-    schema = "value string, number long, line long"
-    rows = text.select("value").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] // per, x[1] % per))
-    return text.sparkSession.createDataFrame(rows, schema)
+    """Lines of ``value`` in file order with ``number``, the record of ``per`` lines that each is in, and ``line``.
+
+    Lines are numbered in their partition, after the lines of the partitions before: one row a partition is counted.
+    """
+    placed = text.select("value", F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    at = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(parts), "_part").select("value", F.floor(at / per).alias("number"), (at % per).alias("line"))

@@ -34,6 +34,16 @@ def fetch(ranges: DataFrame, tiled: DataFrame, contig: str, start: str, end: str
     return ranges.join(pieces, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def words(genome: DataFrame, width: int, *, size: int = 512) -> DataFrame:
+    """Every place of a sequence with the ``width`` bases from there on: ``contig``, ``at`` (from 0), ``bases``. Sequences are
+    cut into tiles that overlap first, so that long ones take time in proportion to their length."""
+    last = F.length("seq") - width
+    cut = genome.where(last >= 0).select("contig", F.explode(F.sequence(F.lit(0), F.floor(last / size).cast("int"))).alias("_t"), "seq")
+    cut = cut.select("contig", "_t", F.substr("seq", F.col("_t") * size + 1, F.lit(size + width - 1)).alias("_part"))
+    each = cut.select("contig", "_t", "_part", F.explode(F.sequence(F.lit(0), F.length("_part") - width)).alias("_i"))
+    return each.select("contig", (F.col("_t").cast("long") * size + F.col("_i")).alias("at"), F.substr("_part", F.col("_i") + 1, F.lit(width)).alias("bases"))
+
+
 def letters(genome: DataFrame) -> DataFrame:
     """One row a base: ``contig``, ``pos`` (from 0), ``base``."""
     return genome.where(F.length("seq") > 0).select("contig", F.posexplode(F.split("seq", "")).alias("pos", "base"))
@@ -77,11 +87,13 @@ def apply_mask(seq: Column, mask: Column) -> Column:
     return F.array_join(F.zip_with(F.split(seq, ""), F.split(mask, ""), lambda s, m: F.when(m == "x", F.lower(s)).when(m == "X", s).otherwise(m)), "")
 
 
-def mutated(genome: DataFrame, changes: DataFrame) -> DataFrame:
-    """Sequences with bases set at places: ``changes`` has ``contig``, ``pos`` (from 0) and ``base``, once a place."""
-    per = changes.groupBy("contig").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pos", "base")))).alias("_m"))
-    new = F.array_join(F.transform(F.split("seq", ""), lambda x, i: F.coalesce(F.element_at("_m", i.cast("long")), x)), "")
-    return genome.join(per, "contig", "left").select("contig", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(new).alias("seq"))
+def mutated(genome: DataFrame, changes: DataFrame, *, size: int = TILE) -> DataFrame:
+    """Tiles of sequences with bases set at places: ``changes`` has ``contig``, ``pos`` (from 0) and ``base``, once a place.
+    Changes meet the tile that they are in; a tile has ``size`` of them at most."""
+    tile = F.floor(F.col("pos") / size).cast("int").alias("tile")
+    per = changes.where("pos >= 0").groupBy("contig", tile).agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("at"), "base"))).alias("_m"))
+    new = F.array_join(F.transform(F.split("seq", ""), lambda x, i: F.coalesce(F.element_at("_m", i), x)), "")
+    return tiles(genome, size=size).join(per, ["contig", "tile"], "left").select("contig", "tile", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(new).alias("seq"))
 
 
 def windows(contigs: DataFrame, size: int) -> DataFrame:
@@ -91,8 +103,14 @@ def windows(contigs: DataFrame, size: int) -> DataFrame:
     return cut.select("contig", (F.col("_i") * size).alias("start"), F.when(F.col("_i") == F.col("_n") - 1, F.col("length")).otherwise((F.col("_i") + 1) * size).alias("end"))
 
 
-def n_runs(genome: DataFrame, *, least: int = 10) -> DataFrame:
-    """Runs of N of ``least`` bases or more: ``contig``, ``start``, ``end``."""
-    w = Window.partitionBy("contig").orderBy("pos")
-    at = letters(genome).where("base = 'N'").withColumn("_g", F.col("pos") - F.row_number().over(w))
-    return at.groupBy("contig", "_g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).where(F.col("end") - F.col("start") >= least).drop("_g")
+def n_runs(genome: DataFrame, *, least: int = 10, size: int = TILE) -> DataFrame:
+    """Runs of N of ``least`` bases or more: ``contig``, ``start``, ``end``. Runs are found in each tile; those that touch a
+    tile's edge are put together over the tiles."""
+    at = F.expr("filter(transform(split(seq, ''), (x, i) -> case when x = 'N' then i end), i -> i is not null)")
+    tiled = tiles(genome, size=size).where(F.contains("seq", F.lit("N")))
+    w = Window.partitionBy("contig", "tile").orderBy("_i")
+    each = tiled.select("contig", "tile", F.explode(at).alias("_i")).withColumn("_g", F.col("_i") - F.row_number().over(w))
+    runs = each.groupBy("contig", "tile", "_g").agg((F.col("tile").cast("long") * size + F.min("_i")).alias("start"), (F.col("tile").cast("long") * size + F.max("_i") + 1).alias("end"))
+    edge = (F.col("start") % size == 0) | (F.col("end") % size == 0)
+    joined = I.merged(runs.where(edge).select("contig", "start", "end"), "contig", "start", "end")
+    return runs.where(~edge).select("contig", "start", "end").unionByName(joined.select("contig", "start", "end")).where(F.col("end") - F.col("start") >= least)

@@ -15,7 +15,8 @@ _TO_BASES = """regexp_replace(translate({text},
 _ROW = """cast(row_number() over (partition by l_orderkey order by
       l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) as bigint)"""
 
-#: Name -> SQL. Tables and views stand in braces; @G@ is the flag that DuckDB needs to replace all matches.
+#: Name -> SQL. Tables and views stand in braces; @G@ is the flag that DuckDB needs to replace all matches, @EACH@(n) gives a
+#: row for each number from 0 to n.
 VIEWS: dict[str, str] = {
     # one row an alignment: match, intron (0: none), match
     "v_hits": """select l_orderkey as insert_id, @ROW@ as ord, l_linenumber % 2 + 1 as mate, 'c' || (l_suppkey % 5) as contig,
@@ -29,7 +30,7 @@ VIEWS: dict[str, str] = {
       100 + (l_partkey % 40) * 25 - (5 + cast(floor(l_quantity) as bigint) % 40) + 1 as lft, 5 + cast(floor(l_quantity) as bigint) % 40 as m1,
       60 + l_partkey % 3 as intron, 5 + l_partkey % 30 as m2, l_linenumber % 2 = 1 as antisense_aln, l_suppkey % 2 = 0 as antisense_splice,
       cast(floor(l_discount * 100 + 0.5) as bigint) % 4 as edit_dist, -6 * (cast(floor(l_discount * 100 + 0.5) as bigint) % 4) as as_score
-      from {lineitem} where l_linenumber % 3 = 0""",
+      from {lineitem}""",
     # SAM rows; pos from 0
     "v_sam": """select l_orderkey as insert_id, @ROW@ as ord, 'r' || l_orderkey as qname,
       cast(1 + case when l_returnflag = 'A' then 2 else 0 end + case when l_partkey % 17 = 0 then 4 else 0 end
@@ -51,9 +52,11 @@ VIEWS: dict[str, str] = {
       'rg' || (l_partkey % 4) as rg, -(cast(floor(l_tax * 100 + 0.5) as bigint) % 9) as as_score, cast(floor(l_discount * 100 + 0.5) as bigint) % 4 as nm,
       case when l_partkey % 5 = 0 then null when l_suppkey % 2 = 0 then '+' else '-' end as xs
       from {lineitem}""",
+    # whole texts, cut into reads of 120 characters, and whole pages
     "v_reads": f"""select read_id, mate, name, seq, substr(repeat(translate(md5('q' || read_id), '0123456789abcdef', '56789ABCDEFGHIJK'), 4), 1, length(seq)) as qual
-      from (select doc_id as read_id, cast(1 + doc_id % 2 as int) as mate, 'read' || doc_id as name, {_TO_BASES.format(text="substr(text, 1, 120)")} as seq from {{documents}}) x""",
-    "v_genome": f"""select 'p' || page_id as contig, {_TO_BASES.format(text="substr(html, 1, 4000)")} as seq from {{pages}}""",
+      from (select doc_id * 1000000 + k as read_id, cast(1 + (doc_id + k) % 2 as int) as mate, 'read' || (doc_id * 1000000 + k) as name, {_TO_BASES.format(text="substr(text, cast(k * 120 + 1 as int), 120)")} as seq
+        from (select doc_id, text, @EACH@(cast(floor((length(text) - 1) / 120.0) as bigint)) as k from {{documents}} where length(text) > 0) c) x""",
+    "v_genome": f"""select 'p' || page_id as contig, {_TO_BASES.format(text="html")} as seq from {{pages}}""",
     "v_intervals": """select event_id, 'u' || (user_id % 8) as chrom, event_id * 37 % 50000 as iv_begin,
       event_id * 37 % 50000 + 1 + cast(floor(abs(value)) as bigint) % 500 as iv_end from {events}""",
     "v_regions": """select o_orderkey, 'u' || (o_custkey % 8) as chrom, o_orderkey * 53 % 50000 as iv_begin,
@@ -97,15 +100,20 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name in VIEWS:
-            sql = VIEWS[name].replace("@G@", "")
+            sql = re.sub(r"@EACH@(\(.*\)) as k", r"explode(sequence(cast(0 as bigint), \1)) as k", VIEWS[name].replace("@G@", ""))
             return self.spark.sql(sql, **{t: getattr(self, t) for t in re.findall(r"\{(\w+)\}", sql)})
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def _duck(view: str) -> str:
+    rows = re.sub(r"@EACH@(\(.*\)) as k", r"unnest(generate_series(0, \1)) as k", view.replace("@G@", ",'g'"))
+    return re.sub(r"[{}]", "", rows)
+
+
 def oracle(sql: str) -> str:
     """``sql`` for DuckDB, with the views that it names in front."""
     names = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    views = ", ".join(f"{v} AS ({re.sub(r'[{}]', '', VIEWS[v].replace('@G@', chr(44) + chr(39) + 'g' + chr(39)))})" for v in names)
+    views = ", ".join(f"{v} AS ({_duck(VIEWS[v])})" for v in names)
     body = sql.strip()
     if not views:
         return body
