@@ -16,7 +16,7 @@ from splicelake.views import Tables
 #: Segments of 25 bases: an order's rows are hits of its first segments.
 SEGS = "sg AS (SELECT insert_id AS read_id, (ord - 1) % 3 + 1 AS seg, 'c' || (lft % 2) AS contig, antisense_splice AS reverse, lft // 4 AS l, lft // 4 + 25 AS r, edit_dist AS e FROM v_hits)"
 STEP = f"{SEGS}, st AS (SELECT a.*, b.contig AS bc, b.reverse AS br, b.l AS bl, b.r AS brr, b.e AS be FROM sg a JOIN sg b ON a.read_id = b.read_id AND b.seg = a.seg + 1)"
-GAPS = f"{STEP}, sm AS (SELECT * FROM st WHERE contig = bc AND reverse = br), gp AS (SELECT *, bl - r AS gap FROM sm WHERE bl - r >= 50 AND bl - r < 5000 AND (read_id, seg) NOT IN (SELECT (read_id, seg) FROM sm WHERE bl = r))"
+GAPS = f"{STEP}, sm AS (SELECT * FROM st WHERE contig = bc AND reverse = br), gp AS (SELECT *, bl - r AS gap FROM sm WHERE bl - r >= 50 AND bl - r < 500000 AND (read_id, seg) NOT IN (SELECT (read_id, seg) FROM sm WHERE bl = r))"
 
 
 def segments(t: Tables) -> DataFrame:
@@ -28,16 +28,16 @@ def segments(t: Tables) -> DataFrame:
 
 @register("disc_seg_gaps", f"WITH {GAPS} SELECT read_id, seg, contig, r AS gap_start, bl AS gap_end FROM gp")
 def _(t: Tables) -> DataFrame:
-    return D.segment_gaps(segments(t), most=5000).select("read_id", "seg", "contig", F.col("right").alias("gap_start"), F.col("b_left").alias("gap_end"))
+    return D.segment_gaps(segments(t), most=500_000).select("read_id", "seg", "contig", F.col("right").alias("gap_start"), F.col("b_left").alias("gap_end"))
 
 
-TOP = f"WITH {GAPS} SELECT contig, r - 1 AS l, bl AS r, bl - r AS skip FROM gp GROUP BY ALL ORDER BY skip, contig, l, r LIMIT 200"
+TOP = f"WITH {GAPS} SELECT contig, r - 1 AS l, bl AS r, bl - r AS skip FROM gp GROUP BY ALL ORDER BY skip, contig, l, r LIMIT 10000000"
 
 
 @register("disc_seg_juncs", TOP)
 def _(t: Tables) -> DataFrame:
-    rows = D.segment_gaps(segments(t), most=5000).select("contig", (F.col("right") - 1).alias("left"), F.col("b_left").alias("right"), F.col("gap").alias("skip")).distinct()
-    return D.top_junctions(rows, 200).select("contig", F.col("left").alias("l"), F.col("right").alias("r"), "skip")
+    rows = D.segment_gaps(segments(t), most=500_000).select("contig", (F.col("right") - 1).alias("left"), F.col("b_left").alias("right"), F.col("gap").alias("skip")).distinct()
+    return D.top_junctions(rows, 10_000_000).select("contig", F.col("left").alias("l"), F.col("right").alias("r"), "skip")
 
 
 def indel_sql(test: str) -> str:
@@ -62,7 +62,9 @@ def _(t: Tables) -> DataFrame:
 GENOME = "gn AS (SELECT contig, seq FROM v_genome)"
 SITES = f"""{GENOME}, ps AS (SELECT contig, seq, unnest(range(1, length(seq))) AS i FROM gn WHERE length(seq) > 1), dn AS (SELECT contig, i - 1 AS place FROM ps WHERE substr(seq, CAST(i AS INTEGER), 2) = 'GT'),
 ac AS (SELECT contig, i - 1 AS place FROM ps WHERE substr(seq, CAST(i AS INTEGER), 2) = 'AG')"""
-PAIRED = f"{SITES}, sp AS (SELECT dn.contig, dn.place AS donor, ac.place + 2 AS acceptor FROM dn JOIN ac ON dn.contig = ac.contig AND ac.place + 2 - dn.place >= 50 AND ac.place + 2 - dn.place < 90)"
+#: Introns that the coverage search tries, in bases; the reference's defaults.
+LEAST, MOST = 50, 20_000
+PAIRED = f"{SITES}, sp AS (SELECT dn.contig, dn.place AS donor, ac.place + 2 AS acceptor FROM dn JOIN ac ON dn.contig = ac.contig AND ac.place + 2 - dn.place >= {LEAST} AND ac.place + 2 - dn.place < {MOST})"
 FLANKED = f"""{PAIRED}, fl AS (SELECT sp.*, substr(seq, CAST(donor - 4 AS INTEGER), 5) || substr(seq, CAST(acceptor + 1 AS INTEGER), 5) AS flank FROM sp JOIN gn USING (contig) WHERE donor >= 5 AND acceptor + 5 <= length(seq)),
 km AS (SELECT DISTINCT unnest(list_transform(range(1, length(seq) - 8), lambda i: substr(seq, i, 10))) AS kmer FROM v_reads WHERE length(seq) >= 10)"""
 
@@ -75,7 +77,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def site_pairs(t: Tables) -> DataFrame:
-    return D.site_pairs(D.sites(t.v_genome, "GT"), D.sites(t.v_genome, "AG"), least=50, most=90)
+    return D.site_pairs(D.sites(t.v_genome, "GT"), D.sites(t.v_genome, "AG"), least=LEAST, most=MOST)
 
 
 @register("disc_all_pairs", f"WITH {PAIRED} SELECT contig, donor, acceptor FROM sp")
@@ -94,13 +96,13 @@ def _(t: Tables) -> DataFrame:
 
 @register("disc_butterfly", SPANNED)
 def _(t: Tables) -> DataFrame:
-    return D.butterfly(D.sites(t.v_genome, "GT"), D.sites(t.v_genome, "AG"), t.v_genome, kmers(t), least=50, most=90)
+    return D.butterfly(D.sites(t.v_genome, "GT"), D.sites(t.v_genome, "AG"), t.v_genome, kmers(t), least=LEAST, most=MOST)
 
 
 @register("disc_union", f"WITH {FLANKED}, u AS (SELECT contig, donor - 1 AS l, acceptor AS r FROM fl WHERE flank IN (SELECT kmer FROM km)) SELECT contig, l, r FROM u UNION SELECT contig, lft + m1 - 1, lft + m1 + intron FROM v_dense_hits")
 def _(t: Tables) -> DataFrame:
-    flanked = D.with_flanks(site_pairs(t), t.v_genome).join(kmers(t).select(F.col("kmer").alias("flank")).distinct(), "flank", "left_semi")
-    a = flanked.select("contig", (F.col("donor") - 1).alias("l"), F.col("acceptor").alias("r"))
+    spanned = D.butterfly(D.sites(t.v_genome, "GT"), D.sites(t.v_genome, "AG"), t.v_genome, kmers(t), least=LEAST, most=MOST)
+    a = spanned.select("contig", (F.col("donor") - 1).alias("l"), F.col("acceptor").alias("r"))
     return a.union(J.extract(t.v_dense_hits).select("contig", "left", "right")).distinct()
 
 

@@ -84,13 +84,13 @@ def _(t: Tables) -> DataFrame:
 
 
 MATES = "SELECT a.insert_id * 1000 + a.ord * 30 + b.ord AS pair_id, a.contig AS a_contig, b.contig AS b_contig, a.lft AS a_pos, b.lft AS b_pos FROM v_hits a JOIN v_hits b ON a.insert_id = b.insert_id AND a.mate = 1 AND b.mate = 2"
-SUPPORT = f"SELECT fusion_id, pair_id, abs(a_pos - lft) AS ldist, abs(b_pos - rgt) AS rdist FROM ({NEAR}) f JOIN ({MATES}) m ON a_contig = contig1 AND b_contig = contig2 AND abs(a_pos - lft) <= 500 AND abs(b_pos - rgt) <= 500"
+SUPPORT = f"SELECT fusion_id, pair_id, abs(a_pos - lft) AS ldist, abs(b_pos - rgt) AS rdist FROM ({NEAR}) f JOIN ({MATES}) m ON a_contig = contig1 AND b_contig = contig2 AND abs(a_pos - lft) <= 2000 AND abs(b_pos - rgt) <= 2000"
 
 
 def support(t: Tables) -> DataFrame:
     p = H.pairs(t.v_hits)
     mates = p.select((F.col("insert_id") * 1000 + F.col("ord") * 30 + F.col("b_ord")).alias("pair_id"), F.col("contig").alias("a_contig"), F.col("b_contig"), F.col("lft").alias("a_pos"), F.col("b_lft").alias("b_pos"))
-    return U.pair_support(near(t), mates, reach=500)
+    return U.pair_support(near(t), mates, reach=2000)
 
 
 @register("fus_pair_support", SUPPORT)
@@ -98,9 +98,9 @@ def _(t: Tables) -> DataFrame:
     return support(t)
 
 
-@register("fus_pair_topk", f"SELECT fusion_id, pair_id, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY fusion_id ORDER BY ldist + rdist, pair_id, ldist) AS INTEGER) AS k FROM ({SUPPORT})) WHERE k <= 2")
+@register("fus_pair_topk", f"SELECT fusion_id, pair_id, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY fusion_id ORDER BY ldist + rdist, pair_id, ldist) AS INTEGER) AS k FROM ({SUPPORT})) WHERE k <= 200")
 def _(t: Tables) -> DataFrame:
-    return U.nearest_pairs(support(t), 2).select("fusion_id", "pair_id", "k")
+    return U.nearest_pairs(support(t), 200).select("fusion_id", "pair_id", "k")
 
 
 @register("snk_fusions", f"SELECT contig1 || '-' || contig2 || chr(9) || lft || chr(9) || rgt || chr(9) || dir || chr(9) || n || chr(9) || array_to_string(lb, ' ') AS line FROM ({EVIDENCE}) WHERE n > 0")
@@ -239,17 +239,17 @@ def _(t: Tables) -> DataFrame:
     return t.v_fusions.withColumns(parts).select("fusion_id", U.score().alias("score"))
 
 
-CLUSTER = """WITH a AS (SELECT *, CASE WHEN lft - lag(lft) OVER (PARTITION BY contig1, contig2, dir ORDER BY lft, fusion_id) > 20000 THEN 1 ELSE 0 END AS f FROM v_fusions),
+CLUSTER = """WITH a AS (SELECT *, CASE WHEN lft - lag(lft) OVER (PARTITION BY contig1, contig2, dir ORDER BY lft, fusion_id) > 500000 THEN 1 ELSE 0 END AS f FROM v_fusions),
 b AS (SELECT *, sum(f) OVER (PARTITION BY contig1, contig2, dir ORDER BY lft, fusion_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM a),
-c AS (SELECT *, CASE WHEN rgt - lag(rgt) OVER (PARTITION BY contig1, contig2, dir, x ORDER BY rgt, fusion_id) > 20000 THEN 1 ELSE 0 END AS g FROM b),
+c AS (SELECT *, CASE WHEN rgt - lag(rgt) OVER (PARTITION BY contig1, contig2, dir, x ORDER BY rgt, fusion_id) > 500000 THEN 1 ELSE 0 END AS g FROM b),
 d AS (SELECT *, sum(g) OVER (PARTITION BY contig1, contig2, dir, x ORDER BY rgt, fusion_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM c)"""
 
 
 @register("fp_cluster", f"{CLUSTER} SELECT fusion_id, contig1 || ':' || contig2 || ':' || dir || ':' || x || ':' || y AS cluster FROM d")
 def _(t: Tables) -> DataFrame:
-    return U.clusters(t.v_fusions, 20_000).select("fusion_id", "cluster")
+    return U.clusters(t.v_fusions).select("fusion_id", "cluster")
 
 
 @register("fp_report_rows", f"{CLUSTER} SELECT contig1 || ':' || contig2 || ':' || dir || ':' || x || ':' || y AS cluster, count(*) AS n, CAST(sum(n_reads) AS BIGINT) AS reads, max(n_pairs) AS most_pairs FROM d GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return U.clusters(t.v_fusions, 20_000).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_reads").alias("reads"), F.max("n_pairs").alias("most_pairs"))
+    return U.clusters(t.v_fusions).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_reads").alias("reads"), F.max("n_pairs").alias("most_pairs"))
