@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from splicelake.llm.common import written
 
@@ -167,3 +168,21 @@ def analyse(media: DataFrame) -> DataFrame:
                 yield pa.record_batch([*batch.columns, *(pa.array([f[k] for f in found], t) for k, t in enumerate(types))], [*batch.schema.names, *names])
 
     return media.mapInArrow(run, _FEATURES)
+
+
+def read_bands(features: DataFrame) -> DataFrame:
+    """``features`` (``n_frames`` and ``tensors`` of ``analyse``, as they were stored) with ``n_tensors``, ``shape`` and
+    ``means``, each band's mean over the true frames, from the tensors as read back."""
+    schema = StructType([*features.schema.fields, StructField("n_tensors", IntegerType()), StructField("shape", StringType()), StructField("means", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, shapes, means = [], [], []
+            for n, stream in zip(batch.column("n_frames").to_pylist(), batch.column("tensors"), strict=True):
+                tensors = pa.ipc.open_stream(stream.as_buffer()).read_all()["log_mel"].combine_chunks().to_numpy_ndarray()
+                counts.append(len(tensors))
+                shapes.append("x".join(map(str, tensors.shape[1:])))
+                means.append(tensors.reshape(-1, tensors.shape[-1])[:n].mean(0, dtype=np.float64).tolist())
+            yield pa.record_batch([*batch.columns, pa.array(counts, pa.int32()), pa.array(shapes, pa.string()), pa.array(means, pa.list_(pa.float64()))], [*batch.schema.names, "n_tensors", "shape", "means"])
+
+    return features.mapInArrow(run, schema)

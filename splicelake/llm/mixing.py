@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,10 +9,9 @@ from pyspark.sql import functions as F
 
 from splicelake.llm.common import ranked
 
-#: This seed's offset is near 1/2: of all offsets that is the one whose sums over sorted sizes stay nearest to the target.
-WEIGHTS, MOST, SEED = (5, 2, 1), 3, 50
-#: Residues of doc_id that split one size class of one source.
-SALTS = 512
+WEIGHTS, MOST, SEED = (5, 2, 1), 3, 1
+#: Cells, by a hash of the key, that split one size class of one source: the highest bits of the key times an odd number.
+SALTS, SPREAD = 512, 2654435761
 
 
 def targets(sizes: DataFrame, *, source: str, size: str, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -45,31 +43,34 @@ def mix(
     """``docs`` with ``source_size`` and ``target`` of its source and ``copies``, the times that the mix takes it.
 
     Systematic sampling: each document of a source expects target / source size copies, so the prefix sum of these before
-    the document of rank k is k times that rate. With one random offset added, a document is emitted once for each
-    integer boundary that its interval crosses: floor or ceiling of the rate, never more than ``most`` rounded up.
-    Documents stand in the order of size class (an eighth of a power of two or finer), residue of the key, size, key. As
+    the document of rank k is k times that rate. With one random offset added, a hash of ``seed`` and the source, a
+    document is emitted once for each integer boundary that its interval crosses: floor or ceiling of the rate, never more
+    than ``most`` rounded up. Documents stand in the order of size class (an eighth of a power of two or finer), hashed
+    key, size, key. As
     classes follow one another, sampled sizes follow the source's sizes, and the words taken miss the target by little
     more than one large document. The order depends on the rows only, so reruns agree.
 
-    A source with a third of all rows is ranked in cells of (size class, residue), with offsets from two levels of counts.
+    A source with a third of all rows is ranked in cells of (size class, hashed key), with offsets from two levels of counts.
 
     ``size`` must be a long column. Null and negative sizes count as 0; a source of size 0 gives no copies. Null sources
-    form a source. Null keys stand with residue 0. Equal rows are sampled as separate rows. The columns ``source_size``,
+    form a source. Null keys stand in the cell of their size. Equal rows are sampled as separate rows. The columns ``source_size``,
     ``target`` and ``copies`` are replaced if there; an empty table gives an empty one.
     """
-    offset = random.Random(seed).random()
     base = docs.drop("source_size", "target", "copies").withColumns({
         "_mix_size": F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)),
         "_mix_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
-        "_mix_salt": F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(SALTS)),
     })
+    spread = F.pmod(F.coalesce(F.col(key).cast("long"), F.col("_mix_size")), F.lit(1 << 31)) * F.lit(SPREAD)
+    base = base.withColumn("_mix_salt", F.floor(F.pmod(spread, F.lit(1 << 32)) / F.lit((1 << 32) // SALTS)))
     base = base.withColumn("_mix_class", F.expr("length(bin(_mix_size)) * 8 + shiftright(_mix_size, greatest(length(bin(_mix_size)) - 3, 0))"))
     # "" stands for null and must come last, but targets() orders sources; it gets the real column
     goal = targets(base.select(source, "_mix_size"), source=source, size="_mix_size", weights=weights, most=most)
     goal = goal.select(F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_mix_source"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"))
     placed = ranked(base, ["_mix_source"], ["_mix_class", "_mix_salt"], ["_mix_size", F.col(key).asc_nulls_first()], "_mix_rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    end = lambda k: F.floor(k.cast("double") * rate + F.lit(offset))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_mix_source"))), 1, 12)
+    offset = F.conv(digits, 16, 10).cast("double") / 16.0**12
+    end = lambda k: F.floor(k.cast("double") * rate + offset)
     placed = placed.join(goal, "_mix_source").withColumn("copies", (end(F.col("_mix_rank") + 1) - end(F.col("_mix_rank"))).cast("long"))
     return placed.drop("_mix_size", "_mix_source", "_mix_salt", "_mix_class", "_mix_rank")
 

@@ -6,10 +6,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from splicelake.llm.common import checkpointed
 from splicelake.llm.tokenizer import encoder
@@ -17,6 +17,7 @@ from splicelake.llm.tokenizer import encoder
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one task packs. The sequences it leaves part-filled are few against those it fills.
 GROUP_ROWS = 65_536
+GROUP = "_pack_group"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -78,21 +79,21 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``parts`` (``doc_id``, ``piece``, ``length`` and more) with ``sequence_id`` and ``offset``.
+    """``parts`` (``doc_id``, ``piece``, ``length`` and more) with ``sequence_id`` and ``offset``, which are replaced if there.
 
     Rows are dealt evenly, whatever their keys, into groups of about ``group_rows``; each group is packed by itself, the
-    longest pieces first, and has sequence ids of its own. Lengths must lie from 1 to ``capacity``. An empty table gives
-    an empty one.
+    longest pieces first (of equal ones by doc_id, null last, and piece), and has sequence ids of its own. Lengths must lie
+    from 1 to ``capacity``. Rows stay Arrow, so ids are kept as they are, null or large. Equal rows are packed each; an
+    empty table gives an empty one.
     """
-    parts = checkpointed(parts)  # dealt by place, so the places must hold
+    parts = checkpointed(parts.drop("sequence_id", "offset"))  # dealt by place, so the places must hold
     groups = max(1, -(-parts.count() // group_rows))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema)}, sequence_id long, offset long"
+    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(pdf.pop("_group").iloc[0])
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(np.int64), capacity)
-        return pdf.assign(sequence_id=(group << 32) + bins, offset=offsets)
+    def place(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns([GROUP]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = sum_of_squares(rows["length"].to_numpy().astype(np.int64), capacity)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = parts.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    dealt = parts.withColumn(GROUP, F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    return dealt.groupBy(GROUP).applyInArrow(place, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.llm import linededup, media, mixing, packing, passages, quality, sharding, simhash, tokenids, toxicity
-from splicelake.llm.common import checkpointed, table, word_count
+from splicelake.llm.common import checkpointed, table, word_count, written
 
 SHARDS = 16
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,12 +40,13 @@ t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target F
 r AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY
     length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)),
-    (coalesce(doc_id, 0) % {mixing.SALTS} + {mixing.SALTS}) % {mixing.SALTS}, size, doc_id NULLS FIRST) - 1 AS k
+    (((coalesce(doc_id, size) % {1 << 31} + {1 << 31}) % {1 << 31}) * {mixing.SPREAD} % {1 << 32}) // {(1 << 32) // mixing.SALTS},
+    size, doc_id NULLS FIRST) - 1 AS k,
+    CAST(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce('=' || source, '')), 1, 12) AS BIGINT) AS DOUBLE) / {16**12} AS offset_
   FROM d)
 SELECT r.doc_id, r.size, t.source_size, t.target,
   CAST(r.size * CASE WHEN t.source_size > 0 THEN
-    floor((r.k + 1) * (t.target / t.source_size) + {random.Random(mixing.SEED).random():.17e})
-    - floor(r.k * (t.target / t.source_size) + {random.Random(mixing.SEED).random():.17e}) ELSE 0 END AS BIGINT) AS taken
+    floor((r.k + 1) * (t.target / t.source_size) + offset_) - floor(r.k * (t.target / t.source_size) + offset_) ELSE 0 END AS BIGINT) AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
 
@@ -106,19 +106,23 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.analyse(media.store(table(spark, sf_dir, "documents")))
-    seconds = lambda x: F.round(x * 1000).cast("long").cast("string")
-    loud = F.array_join(F.transform("segments", lambda s: F.concat(seconds(s["start_s"]), F.lit("-"), seconds(s["end_s"]))), ",")
-    bands = F.array_join(F.transform("bands", lambda b: F.round(b * 100).cast("long").cast("string")), ",")
-    return found.select(
+    """Payloads and tensors are both stored and read back; figures from floats are rounded, so they agree between machines."""
+    found = media.analyse(media.store(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("spans="), F.size("spans")), F.concat(F.lit("loud_ms="), loud), F.concat(F.lit("bands="), bands), F.concat(F.lit("tensors="), F.md5("tensors"))).alias("feature"),
+        "n_frames", "spans", "tensors", "segments",
     )
+    stored = media.read_bands(written(found, "features"))
+    ms = lambda x: F.round(x * 1000).cast("long").cast("string")
+    loud = F.array_join(F.transform("segments", lambda s: F.concat(ms(s["start_s"]), F.lit("-"), ms(s["end_s"]))), ",")
+    bands = F.array_join(F.transform("means", lambda b: F.round(b * 10).cast("long").cast("string")), ",")
+    parts = {"frames": F.col("n_frames"), "spans": F.size("spans"), "end_ms": ms(F.element_at("spans", -1)["end_s"]), "loud_ms": loud, "bands": bands, "tensors": F.concat_ws("x", "n_tensors", "shape")}
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{name}="), x) for name, x in parts.items()])
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
