@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id (null last), of several the least hash of
-    the text, and of equal rows one.
+    """``docs`` with one row of each near-duplicate group: that of the least doc_id, of several the least hash of the text,
+    and of equal rows one. Rows with a null doc_id all stay, as nothing names them.
 
     Groups are of rows, not of doc_ids: rows of one doc_id with unlike texts are in groups of their own. Rows are named by
     their places in a table written for that, so that what stays is decided for each row. Null and empty texts are one
@@ -185,11 +185,12 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, distance: int = DIST
     """
     columns = docs.columns
     held = written(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup")
-    prints = checkpointed(fingerprints(held.select(F.col("_dedup_row").alias("doc_id"), "text"), shingle=shingle)).withColumnRenamed("doc_id", "_row")
+    ours = held.where("doc_id is not null")
+    prints = checkpointed(fingerprints(ours.select(F.col("_dedup_row").alias("doc_id"), "text"), shingle=shingle)).withColumnRenamed("doc_id", "_row")
     nodes = checkpointed(prints.groupBy("_fp").agg(F.min("_row").alias("_node")))
     found = components(links(nodes, distance=distance, blocks=blocks), "a", "b").withColumnRenamed("node", "_node")
     groups = nodes.join(found, "_node", "left").select(fresh("_fp").alias("_fp"), F.coalesce("root", "_node").alias("_group"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("_dedup_row").alias("r"))
-    named = held.select(fresh("_dedup_row").alias("_row"), order.alias("_order")).join(prints, "_row").withColumn("_fp", fresh("_fp")).join(groups, "_fp")
+    order = F.struct(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("_dedup_row").alias("r"))
+    named = ours.select(fresh("_dedup_row").alias("_row"), order.alias("_order")).join(prints, "_row").withColumn("_fp", fresh("_fp")).join(groups, "_fp")
     stays = checkpointed(named.groupBy("_group").agg(F.min("_order")["r"].alias("_dedup_row")).select("_dedup_row"))
-    return held.join(stays, "_dedup_row", "left_semi").select(*columns)
+    return ours.join(stays, "_dedup_row", "left_semi").unionByName(held.where("doc_id is null")).select(*columns)

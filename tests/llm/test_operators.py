@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -523,3 +524,107 @@ def test_pipeline_equals_its_stages(spark, docs):
     lengths = sorted((r.doc_id, r.length) for r in packed)
     assert sum(n for _, n in lengths) == sum(n for _, n in want)
     assert {d for d, _ in lengths} == {d for d, _ in want}
+
+
+# faults that were mended
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_recall_of_similar_lines_against_brute_force(spark):
+    """Lines of 5 to 40 words with words changed, left out or put in: nine in ten pairs of 0.8 or more are connected, and none
+    of less are linked."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(2, 9)))
+    rows, true = [], 0
+    for i in range(120):
+        a = [word() for _ in range(rng.randint(5, 40))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * rng.choice((0.05, 0.1, 0.15))))):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice(([word()], [], [b[at], word()]))
+        a, b = " ".join(a), " ".join(b)
+        if len(b.split()) < 5 or a == b:
+            continue
+        rows += [(i, a), (1000 + i, b)]
+        true += _distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    text = dict(rows)
+    removed = linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.kept_doc_id, r.doc_id) for r in removed}
+    assert all(b == a + 1000 and _distance(text[a], text[b]) <= int(0.2 * max(len(text[a]), len(text[b])) + 1e-9) for a, b in pairs)
+    assert len(pairs) >= 0.9 * true > 80
+
+
+def test_two_families_of_one_vocabulary(spark):
+    """Lines that share long words, block for block, are linked within their families whatever the size of the block."""
+    rng = random.Random(22)
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(low, high)))
+    long_words = [word(8, 10) for _ in range(12)]
+    bases = [[w for x in long_words for w in (x, *(word(2, 4) for _ in range(4)))] for _ in range(2)]
+    rows = [(1000 * f + i, " ".join([*base, word(2, 4), word(2, 4)])) for f, base in enumerate(bases) for i in range(70)]
+    gone = [r.doc_id for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(gone) == [*range(1, 70), *range(1001, 1070)]
+
+
+def test_text_put_in_front_of_a_long_line(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=8)) for _ in range(1300)]
+    rows = [(1, " ".join(words[90:])), (2, " ".join(words))]
+    assert [r.doc_id for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [2]
+
+
+def test_packing_keeps_null_and_large_ids(spark):
+    big = 2**60
+    parts = spark.createDataFrame([(None, 0, 5, "x"), (big + 1, 0, 4, "y"), (big + 3, 0, 4000, "z")], "doc_id long, piece int, length long, offset string")
+    out = packing.pack(parts)
+    assert out.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert {(r.doc_id, r.length) for r in out.collect()} == {(None, 5), (big + 1, 4), (big + 3, 4000)}
+
+
+def test_near_dedup_decides_by_row(spark):
+    t1, t2 = "one two three four five six seven eight nine", "ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(1, t2), (5, t2), (5, t1), (None, t2), (5, t1)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, t2), (1, t2), (5, t1)]
+
+
+def test_null_is_no_id_for_passages(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    assert passages.shared_passages(spark.createDataFrame([(None, text), (-1, text)], "doc_id long, text string")).count() == 1
+
+
+def test_stored_tensors_give_the_means(spark):
+    found = media.analyse(media.store(spark.createDataFrame([(1, "tone " * 900), (2, None)], "doc_id long, text string")))
+    for r in media.read_bands(found).collect():
+        assert r.shape == f"{media.SPAN_FRAMES}x{media.BANDS}" and r.n_tensors == len(r.spans)
+        assert max(abs(a - b) for a, b in zip(r.means, r.bands, strict=True)) < 1e-3
+
+
+def test_toxicity_features_and_steps_equal_plain_ones():
+    text, mask = "You, SILLY silly goose", (1 << 64) - 1
+    words = ["you", "silly", "silly", "goose"]
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    want = [x * 0x9E3779B97F4A7C15 & mask for x in h]
+    for gap, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
+        want += [((a * odd & mask) ^ ((b >> 29) + b & mask)) * 0x9E3779B97F4A7C15 & mask for a, b in zip(h, h[gap:])]
+    got = toxicity.Features(20).of([text])[0].tolist()
+    assert sorted(got) == sorted(x >> 44 for x in want)
+
+    model, z, n, b = toxicity.Ftrl(4, alpha=0.5, beta=1.0, l1=0.1, l2=0.2), [0.0] * 4, [0.0] * 4, [0.0, 0.0]
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.1 else -(z[i] - (0.1 if z[i] > 0 else -0.1)) / ((1 + n[i] ** 0.5) / 0.5 + 0.2)
+    for at, label in (([0, 1], 1), ([1, 2], 0), ([0, 3], 1), ([0, 1, 2, 3], 0)) * 3:
+        w, bias = {i: weight(i) for i in at}, -b[0] / ((1 + b[1] ** 0.5) / 0.5)
+        g = 1 / (1 + math.exp(-sum(w.values()) - bias)) - label
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[i]
+            n[i] += g * g
+        b = [b[0] + g - ((b[1] + g * g) ** 0.5 - b[1] ** 0.5) / 0.5 * bias, b[1] + g * g]
+        model.learn(np.array(at), label)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose([model.bias_z, model.bias_n], b)
