@@ -628,3 +628,24 @@ def test_toxicity_features_and_steps_equal_plain_ones():
         b = [b[0] + g - ((b[1] + g * g) ** 0.5 - b[1] ** 0.5) / 0.5 * bias, b[1] + g * g]
         model.learn(np.array(at), label)
     assert np.allclose(model.z, z) and np.allclose(model.n, n) and np.allclose([model.bias_z, model.bias_n], b)
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 45 to 100 words with words changed, of which 0.8 or more are equal, in unlike surroundings."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(20000)]
+    draw = lambda n: rng.choices(vocabulary, k=n)
+    rows, planted = [], {0.0: set(), 0.05: set(), 0.1: set()}
+    for share in planted:
+        for n in (45, 60, 100):
+            for _ in range(40):
+                mine, i = draw(n), len(rows)
+                other = [rng.choice(vocabulary) if rng.random() < share else w for w in mine]
+                if sum(x == y for x, y in zip(mine, other, strict=True)) >= 0.8 * n:
+                    planted[share].add((i, i + 1))
+                    rows += [(i, " ".join(draw(80) + mine + draw(80))), (i + 1, " ".join(draw(33) + other + draw(50)))]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(min(r.doc_id, r.source_doc_id), max(r.doc_id, r.source_doc_id)) for r in found}
+    recall = {share: len(found & pairs) / len(pairs) for share, pairs in planted.items()}
+    assert recall[0.0] == 1 and recall[0.05] >= 0.9 and recall[0.1] >= 0.7, recall
+    assert found <= set().union(*planted.values())
