@@ -145,11 +145,17 @@ def _(t: Tables) -> DataFrame:
     return t.v_fusions.where(~U.is_intron_like()).select("fusion_id")
 
 
-@register("fp_filter_homology", "WITH k AS (SELECT fusion_id, substr(left_seq, 1, 4) AS kmer FROM v_fusions), m AS (SELECT DISTINCT substr(right_seq, 1, 4) AS kmer, contig2 AS contig, rgt // 100000 AS b FROM v_fusions) SELECT fusion_id FROM v_fusions f JOIN k USING (fusion_id) WHERE k.kmer IN (SELECT kmer FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.kmer = k.kmer AND m.contig = f.contig1 AND m.b = f.lft // 100000)")
+@register(
+    "fp_filter_homology",
+    """WITH f AS (SELECT *, substr(left_seq, 16, 8) AS lk, substr(right_seq, 24, 8) AS rk, CASE WHEN contig1 = contig2 THEN least(100000, abs(lft - rgt) * 9 // 10) ELSE 100000 END AS w FROM v_fusions),
+    m AS (SELECT lk AS kmer, contig1 AS contig, lft AS pos FROM f UNION SELECT rk, contig2, rgt FROM f) SELECT fusion_id FROM f WHERE lk IN (SELECT kmer FROM m) AND rk IN (SELECT kmer FROM m)
+    AND NOT EXISTS (SELECT 1 FROM m WHERE kmer = lk AND contig = contig2 AND abs(pos - rgt) < w) AND NOT EXISTS (SELECT 1 FROM m WHERE kmer = rk AND contig = contig1 AND abs(pos - lft) < w)""",
+)
 def _(t: Tables) -> DataFrame:
-    mapped = t.v_fusions.select(F.substring("right_seq", 1, 4).alias("kmer"), F.col("contig2").alias("contig"), F.floor(F.col("rgt") / 100000).alias("b")).distinct()
-    rows = t.v_fusions.select("fusion_id", F.substring("left_seq", 1, 4).alias("kmer"), F.col("contig1").alias("contig"), F.floor(F.col("lft") / 100000).alias("b"))
-    return rows.join(mapped.select("kmer").distinct(), "kmer", "left_semi").join(mapped, ["kmer", "contig", "b"], "left_anti").select("fusion_id")
+    """The places of a k-mer are the breakpoints it stands at. Flanks are hashes, of which 23 bases never recur: 8 bases are taken."""
+    left = t.v_fusions.select(F.substring("left_seq", 16, 8).alias("kmer"), F.col("contig1").alias("contig"), F.col("lft").alias("pos"))
+    right = t.v_fusions.select(F.substring("right_seq", 24, 8).alias("kmer"), F.col("contig2").alias("contig"), F.col("rgt").alias("pos"))
+    return U.not_homologous(t.v_fusions, left.unionByName(right), k=8).select("fusion_id")
 
 
 GENES = "SELECT contig, gene || '_' || tx_id AS gene, min(ex_start) * 8 AS s, max(ex_end) * 8 AS e FROM v_exons GROUP BY ALL"

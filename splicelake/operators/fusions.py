@@ -140,6 +140,28 @@ def clusters(fusions: DataFrame, reach: int = 500_000) -> DataFrame:
     return both.withColumn("cluster", F.concat_ws(":", *key, "_a", "_b")).drop("_a", "_b")
 
 
+def not_homologous(fusions: DataFrame, places: DataFrame, *, k: int = 23, half: int = 23, reach: int = 100_000) -> DataFrame:
+    """``fusions`` of which both ``k`` bases at the breakpoint (the left sequence's up to its base ``half``, the right one's
+    after it) have a place in ``places`` (``kmer``, ``contig``, ``pos``) and neither has one near the other side's breakpoint:
+    under ``reach`` away, and on one contig under nine tenths of the fusion's length.
+
+    Places meet breakpoints by k-mer and cell, each place in its cell and each breakpoint in three. Fusions with a null
+    sequence go.
+    """
+    window = F.when(F.col("contig1") == F.col("contig2"), F.least(F.lit(reach), F.floor(F.abs(F.col("lft") - F.col("rgt")) * 9 / 10))).otherwise(reach)
+    flanked = fusions.withColumns({"_left": F.substring("left_seq", half - k + 1, k), "_right": F.substring("right_seq", half + 1, k)})
+    side = lambda kmer, contig, at: F.struct(F.col(kmer).alias("kmer"), F.col(contig).alias("contig"), F.col(at).alias("_at"))
+    sides = flanked.select("fusion_id", window.alias("_w"), F.inline(F.array(side("_left", "contig2", "rgt"), side("_right", "contig1", "lft"))))
+    cell = F.floor(F.col("_at") / reach)
+    sides = sides.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    placed = places.select("kmer", "contig", "pos", F.floor(F.col("pos") / reach).alias("_cell")).distinct()
+    near = sides.join(placed, ["kmer", "contig", "_cell"]).where(F.abs(F.col("pos") - F.col("_at")) < F.col("_w")).select("fusion_id").distinct()
+    known = places.select("kmer").distinct()
+    for column in ("_left", "_right"):
+        flanked = flanked.join(known.withColumnRenamed("kmer", column), column, "left_semi")
+    return flanked.join(near, "fusion_id", "left_anti").select(*fusions.columns)
+
+
 def clean_genes(genes: DataFrame) -> DataFrame:
     """Genes without those named MIR and those inside the gene before them."""
     w = Window.partitionBy("contig").orderBy("start", F.desc("end"), "gene")

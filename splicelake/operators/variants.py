@@ -193,9 +193,9 @@ def _beta(x: float, a: float, b: float) -> float:
 
 
 def _t_test(n1: int, s1: float, q1: float, n2: int, s2: float, q2: float) -> float:
-    """One-sided p-value that the second mean is not below the first, from counts, sums and sums of squares; 1 without
-    spread or with fewer than two in either."""
-    if n1 < 2 or n2 < 2:
+    """One-sided p-value that the second mean is not below the first, from counts, sums and sums of squares; 1 where
+    either has none or both have fewer than three together."""
+    if min(n1, n2) < 1 or n1 + n2 < 3:
         return 1.0
     m1, m2 = s1 / n1, s2 / n2
     if m1 <= m2:

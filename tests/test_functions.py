@@ -1,5 +1,7 @@
 """Column functions and operators on small literal rows."""
 
+from math import atan, pi, sqrt
+
 from pyspark.sql import functions as F
 
 from splicelake.functions import cigar
@@ -123,3 +125,5 @@ def test_p_values():
     assert abs(V._beta(0.3, 2.0, 3.0) - 0.3483) < 1e-4
     # means 10 and 8 of five each with unit variance: t = 3.162 at 8 degrees
     assert abs(V._t_test(5, 50, 504, 5, 40, 324) - 0.00667) < 1e-4
+    assert V._t_test(1, 9, 81, 1, 4, 16) == V._t_test(0, 0, 0, 5, 40, 324) == V._t_test(2, 8, 34, 1, 9, 81) == 1
+    assert abs(V._t_test(2, 18, 170, 1, 4, 16) - (0.5 - atan(5 / sqrt(8 * 1.5)) / pi)) < 1e-9  # one degree of freedom
