@@ -171,6 +171,19 @@ def _(t: Tables) -> DataFrame:
     return D.closures(pairs, introns, mean=50, sd=20).select("pair_id", "contig", F.col("left").alias("l"), F.col("right").alias("r"))
 
 
+@register(
+    "disc_closure_motifs",
+    """WITH m AS (SELECT 'p' || (a.insert_id % 50) AS contig, a.lft % 3000 AS s1, a.lft % 3000 + a.m1 AS e1, b.lft % 3000 AS s2, b.lft % 3000 + b.m1 AS e2 FROM v_hits a JOIN v_hits b ON a.insert_id = b.insert_id AND a.mate = 1 AND b.mate = 2),
+    far AS (SELECT * FROM m WHERE CASE WHEN s1 < s2 THEN s2 - e1 ELSE s1 - e2 END > 90), w AS (SELECT contig, s1 - 10 AS f, e1 + 10 AS t FROM far UNION SELECT contig, s2 - 10, e2 + 10 FROM far),
+    g AS (SELECT contig, i AS place, substr(seq, i + 1, 2) AS motif FROM (SELECT contig, seq, unnest(range(length(seq) - 2)) AS i FROM v_genome WHERE contig IN (SELECT contig FROM w)))
+    SELECT contig, place, CASE WHEN motif IN ('GT', 'AG') THEN '+' ELSE '-' END AS strand, motif FROM g WHERE motif IN ('GT', 'AG', 'CT', 'AC') AND EXISTS (SELECT 1 FROM w WHERE w.contig = g.contig AND f <= place AND place < t)""",
+)
+def _(t: Tables) -> DataFrame:
+    hit = lambda n: t.v_hits.where(F.col("mate") == n).select("insert_id", (F.col("lft") % 3000).alias(f"start{n}"), (F.col("lft") % 3000 + F.col("m1")).alias(f"end{n}"), F.col("antisense_aln").alias(f"reverse{n}"))
+    pairs = hit(1).join(hit(2), "insert_id").withColumn("contig", F.concat(F.lit("p"), (F.col("insert_id") % 50).cast("string")))
+    return D.closure_motifs(pairs, t.v_genome, mean=50, sd=20).select("contig", F.col("at").alias("place"), "strand", "motif")
+
+
 @register(
     "seg_join",
     f"""WITH {SEGS} SELECT a.read_id, a.contig, a.reverse, a.l AS start, c.r AS stop, a.e + b.e + c.e AS errors FROM sg a JOIN sg b ON a.read_id = b.read_id AND a.contig = b.contig AND a.reverse = b.reverse AND a.seg = 1 AND b.seg = 2

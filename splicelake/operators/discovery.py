@@ -144,6 +144,29 @@ def closures(pairs: DataFrame, introns: DataFrame, *, mean: int, sd: int) -> Dat
     return I.interval_join(I.Side(pairs, "contig", "start", "end"), side, test=fits).select("pair_id", "contig", F.col("_il").alias("left"), F.col("_ir").alias("right")).distinct()
 
 
+def closure_motifs(pairs: DataFrame, genome: DataFrame, *, mean: int, sd: int, margin: int = 10, library: str | None = None) -> DataFrame:
+    """Intron ends beside mates that are farther apart than ``mean + 2 * sd``: ``contig``, ``at``, ``strand``, ``motif``.
+
+    ``pairs`` have ``contig``, ``start1``, ``end1``, ``reverse1``, ``start2`` and ``end2``. Motifs begin within ``margin``
+    bases of either mate and end before the contig's last base: GT and AG on strand +, CT and AC on strand -. A ``library``
+    of "firststrand" takes + where the first mate is reverse and - elsewhere, "secondstrand" the other way round. Motifs meet
+    windows in bins as a semi-join, so each is given once however many mates lie there.
+    """
+    inner = F.when(F.col("start1") < F.col("start2"), F.col("start2") - F.col("end1")).otherwise(F.col("start1") - F.col("end2"))
+    forward = F.col("reverse1") if library == "firststrand" else ~F.col("reverse1")
+    strands = F.array(F.when(forward, "+").otherwise("-")) if library else F.array(F.lit("+"), F.lit("-"))
+    window = lambda n: F.struct((F.col(f"start{n}") - margin).alias("_from"), (F.col(f"end{n}") + margin).alias("_to"))
+    windows = pairs.where(inner > mean + 2 * sd).select("contig", strands.alias("_s"), F.inline(F.array(window(1), window(2))))
+    windows = windows.select("contig", F.explode("_s").alias("strand"), "_from", "_to").distinct()
+    bins = F.sequence(F.floor(F.col("_from") / 256), F.floor((F.col("_to") - 1) / 256))
+    windows = windows.withColumn("_b", F.explode(bins))
+    motif = F.substring("bases", 1, 2)
+    found = Q.words(genome, 3).select("contig", "at", F.floor(F.col("at") / 256).alias("_b"), F.when(motif.isin("GT", "AG"), "+").when(motif.isin("CT", "AC"), "-").alias("strand"), motif.alias("motif"))
+    found = found.where("strand is not null").alias("f")
+    near = [F.col(f"f.{c}") == F.col(f"w.{c}") for c in ("contig", "_b", "strand")] + [F.col("at") >= F.col("_from"), F.col("at") < F.col("_to")]
+    return found.join(windows.alias("w"), near, "left_semi").select("contig", "at", "strand", "motif")
+
+
 def kmer_map(kmers: DataFrame, genome: DataFrame, *, size: int = 20, mismatches: int = 1, most: int = 100) -> DataFrame:
     """Places of k-mers in the genome with ``mismatches`` or fewer: ``kmer``, ``contig``, ``at``, ``errors``. Cut into one piece
     more than mismatches, a k-mer has a piece without any, and pieces join genome k-mers by equality. A k-mer
