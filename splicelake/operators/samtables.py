@@ -70,6 +70,26 @@ def rmdup_single(sam: DataFrame) -> DataFrame:
     return sam.where(~has(4)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def capped_mapq(rows: DataFrame, *, most: int = 40) -> DataFrame:
+    """Adds ``cap``, what the mismatches of an alignment leave of a mapping quality of ``most``, or -1 where they leave none.
+
+    ``bases``, ``quals`` (characters from 33) and ``ref`` are of the aligned places without insertions and deletions;
+    ``clipped`` is the sum of the qualities of soft-clipped bases and 13 for each hard-clipped one. Bases below quality 13
+    and N on either side do not count; those that do are counted again beside the aligned length.
+    """
+    c = F.col
+    letters = lambda name: F.split(F.upper(name), "")
+    quals = F.transform(F.split("quals", ""), lambda x: F.ascii(x) - 33)
+    places = F.zip_with(F.zip_with(letters("bases"), letters("ref"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), quals, lambda p, q: F.struct(p["a"].alias("a"), p["b"].alias("b"), q.alias("q")))
+    out = rows.withColumn("_good", F.filter(places, lambda x: (x["a"] != "N") & (x["b"] != "N") & (x["q"] >= 13)))
+    out = out.withColumn("_bad", F.filter("_good", lambda x: (x["a"] != x["b"]) & (x["a"] != "=")))
+    out = out.withColumns({"_n": F.length("bases") + F.size("_good"), "_mm": F.size("_bad"), "_q": F.aggregate("_bad", F.lit(0), lambda acc, x: acc + F.least(x["q"], F.lit(33)))})
+    ways = F.when(c("_mm") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest("_mm", F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.ln(c("_n")) - F.ln(i))).otherwise(0.0)
+    cost = c("_q") - 4.343 * ways + c("clipped") / 5
+    left = F.sqrt((most - F.greatest(cost, F.lit(0.0))) / most) * most + 0.499
+    return out.withColumn("cap", F.when(cost > most, -1).otherwise(left.cast("int"))).drop("_good", "_bad", "_n", "_mm", "_q")
+
+
 def fixmate(sam: DataFrame) -> DataFrame:
     """Mate contig, place, length and flags from the other read of the pair."""
     first = lambda bit: sam.where(has(bit) & ~has(256)).withColumn("_k", F.row_number().over(Window.partitionBy("qname").orderBy("ord"))).where("_k = 1").drop("_k")
