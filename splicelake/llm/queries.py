@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicelake.llm import linededup, media, mixing, packing, passages, quality, sharding, simhash, tokenids, toxicity
+from splicelake.llm import lexical, linededup, media, mixing, onebit, packing, passages, quality, sharding, simhash, spelling, tokenids, toxicity
 from splicelake.llm.common import checkpointed, table, word_count, written
 
 SHARDS = 16
@@ -125,6 +125,37 @@ def op10_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op11_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{"".join(map(chr, range(65, 91)))}', '{"".join(map(chr, range(97, 123)))}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{"".join(map(chr, range(65, 91)))}', '{"".join(map(chr, range(97, 123)))}'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(t)) AS BIGINT) AS ll FROM d WHERE len(t) > 0),
+f AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, c GROUP BY term),
+m AS (SELECT doc_id, 50 + (50 * CAST(len(t) AS BIGINT) * nn) // ll AS m FROM d, c),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {lexical.TOP}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
@@ -136,5 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_media_features": op10_media_features,
+    "op11_one_bit_neighbours": op11_one_bit_neighbours,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op13_ranked_search": OP13_SQL}
