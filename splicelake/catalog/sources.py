@@ -21,10 +21,14 @@ def _(t: Tables) -> DataFrame:
     return T.fasta(records).select("name", "seq")
 
 
-@register("src_fastx_detect", "SELECT CASE WHEN count(*) > 0 THEN 'fasta' END AS kind FROM v_reads")
+@register("src_fastx_detect", "SELECT CAST(read_id // 1000000 AS VARCHAR) AS file, CASE WHEN mate = 1 THEN 'fasta' ELSE 'fastq' END AS format FROM v_reads WHERE read_id % 1000000 = 0")
 def _(t: Tables) -> DataFrame:
-    kind = T.looks_like(line(t.v_reads, F.concat(F.lit(">"), "name")))
-    return t.v_reads.agg(F.when(F.count(F.lit(1)) > 0, kind).alias("kind"))
+    """A file of each document's reads, after a blank line; those that begin with a first mate are FASTA."""
+    value = F.concat(F.when(F.col("mate") == 1, ">").otherwise("@"), "name")
+    file = F.floor(F.col("read_id") / 1_000_000).cast("string").alias("file")
+    lines = t.v_reads.select(file, (F.col("read_id") % 1_000_000 + 1).alias("block"), value.alias("value"))
+    blank = t.v_reads.where("read_id % 1000000 = 0").select(file, F.lit(0).cast("long").alias("block"), F.lit("  ").alias("value"))
+    return T.formats(lines.unionByName(blank))
 
 
 @register("snk_fastx", "SELECT '@' || name || '/' || mate || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS value FROM v_reads")

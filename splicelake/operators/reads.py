@@ -61,12 +61,18 @@ def from_alignments(sam: DataFrame, *, which: str = "unmapped", keep_failed: boo
 
 
 def numbered(text: DataFrame, per: int) -> DataFrame:
-    """Lines of ``value`` in file order with ``number``, the record of ``per`` lines that each is in, and ``line``.
+    """Lines of ``value`` with ``number``, the record of ``per`` lines that each is in, and ``line``, its place there.
 
-    Lines are numbered in their partition, after the lines of the partitions before: one row a partition is counted.
+    ``text`` has the ``file`` and the ``block`` (first byte of the split) that each line was read from. Lines are numbered
+    within their block, after those of the blocks of the file before it; records begin anew with each file, files in the
+    order of their names. A block's lines follow one another in a partition, however blocks are packed into partitions. One
+    row a block is counted.
     """
-    placed = text.select("value", F.monotonically_increasing_id().alias("_id")).withColumn("_part", F.shiftright("_id", 33))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
-    at = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)
-    return placed.join(F.broadcast(parts), "_part").select("value", F.floor(at / per).alias("number"), (at % per).alias("line"))
+    placed = text.select("file", "block", "value", F.monotonically_increasing_id().alias("_id"))
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy("file").agg(F.ceil(F.sum("_n") / per).alias("_records"))
+    files = files.select("file", F.coalesce(F.sum("_records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    blocks = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).join(files, "file")
+    at = F.col("_before") + F.col("_id") - F.col("_first")
+    return placed.join(F.broadcast(blocks), ["file", "block"]).select("file", "value", (F.col("_base") + F.floor(at / per)).alias("number"), (at % per).alias("line"))

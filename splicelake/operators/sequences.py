@@ -11,11 +11,20 @@ from splicelake.operators import intervals as I
 TILE = 1 << 16
 
 
+def _cut(seq: Column, size: int) -> Column:
+    """The text in pieces of ``size`` characters, in one pass."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _overlapping(seq: Column, size: int, more: int) -> Column:
+    """The same, each piece followed by the first ``more`` characters of those after it; ``more`` is at most ``size``."""
+    parts = F.array(_cut(seq, size))
+    return F.flatten(F.transform(parts, lambda p: F.transform(p, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(p, i + 1), 1, more), F.lit(""))))))
+
+
 def tiles(genome: DataFrame, *, size: int = TILE) -> DataFrame:
-    """``contig``, ``tile`` and that part of its sequence."""
-    number = F.floor((F.length("seq") - 1) / size).cast("int")
-    cut = genome.where(F.length("seq") > 0).withColumn("tile", F.explode(F.sequence(F.lit(0), number)))
-    return cut.select("contig", "tile", F.col("seq").substr(F.col("tile") * size + 1, F.lit(size)).alias("seq"))
+    """``contig``, ``tile`` and that part of its sequence, in time by the sequence's length."""
+    return genome.where(F.length("seq") > 0).select("contig", F.posexplode(_cut(F.col("seq"), size)).alias("tile", "seq"))
 
 
 def fetch(ranges: DataFrame, tiled: DataFrame, contig: str, start: str, end: str, *, size: int = TILE, out: str = "bases") -> DataFrame:
@@ -35,13 +44,14 @@ def fetch(ranges: DataFrame, tiled: DataFrame, contig: str, start: str, end: str
 
 
 def words(genome: DataFrame, width: int, *, size: int = 512) -> DataFrame:
-    """Every place of a sequence with the ``width`` bases from there on: ``contig``, ``at`` (from 0), ``bases``. Sequences are
-    cut into tiles that overlap first, so that long ones take time in proportion to their length."""
-    last = F.length("seq") - width
-    cut = genome.where(last >= 0).select("contig", F.explode(F.sequence(F.lit(0), F.floor(last / size).cast("int"))).alias("_t"), "seq")
-    cut = cut.select("contig", "_t", F.substr("seq", F.col("_t") * size + 1, F.lit(size + width - 1)).alias("_part"))
-    each = cut.select("contig", "_t", "_part", F.explode(F.sequence(F.lit(0), F.length("_part") - width)).alias("_i"))
-    return each.select("contig", (F.col("_t").cast("long") * size + F.col("_i")).alias("at"), F.substr("_part", F.col("_i") + 1, F.lit(width)).alias("bases"))
+    """Every place of a sequence with the ``width`` (up to ``size``) bases from there on: ``contig``, ``at`` (from 0), ``bases``.
+    Sequences are cut into long tiles that overlap, dealt out, and cut again, so that long ones take time in proportion to
+    their length and do not stay in one task."""
+    far = genome.where(F.length("seq") >= width).select("contig", F.posexplode(_overlapping(F.col("seq"), TILE, width - 1)).alias("_t", "_far")).repartition("contig", "_t")
+    near = far.select("contig", "_t", F.posexplode(_overlapping(F.col("_far"), size, width - 1)).alias("_u", "_part")).where(F.length("_part") >= width)
+    # the last places of a long tile are the first ones of the next
+    each = near.select("contig", "_t", "_u", "_part", F.explode(F.sequence(F.lit(0), F.length("_part") - width)).alias("_i")).where(F.col("_u") * size + F.col("_i") < TILE)
+    return each.select("contig", (F.col("_t").cast("long") * TILE + F.col("_u") * size + F.col("_i")).alias("at"), F.substr("_part", F.col("_i") + 1, F.lit(width)).alias("bases"))
 
 
 def letters(genome: DataFrame) -> DataFrame:

@@ -12,12 +12,17 @@ def _field(k: int) -> Column:
     return F.get(F.split("value", "\t"), k)
 
 
-def looks_like(text: DataFrame) -> str:
-    """``fasta`` or ``fastq`` by the first character of the first line that is not blank."""
-    first = text.where(F.length(F.trim("value")) > 0).select(F.substring("value", 1, 1)).first()
-    if first is None or first[0] not in (">", "@"):
-        raise ValueError("neither FASTA nor FASTQ")
-    return "fasta" if first[0] == ">" else "fastq"
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as ``value``, with the ``file`` and the ``block`` (first byte of the split) that each comes from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def formats(lines: DataFrame) -> DataFrame:
+    """``file`` and ``format``: ``fasta`` or ``fastq`` by the first character of the file's first line that is not blank, null
+    for others. Lines have ``file``, ``block`` and ``value``, in order within a block."""
+    shown = lines.where(F.length(F.trim("value")) > 0).select("file", F.substring("value", 1, 1).alias("_c"), F.struct("block", F.monotonically_increasing_id().alias("id")).alias("_at"))
+    first = shown.groupBy("file").agg(F.min_by("_c", "_at").alias("_c"))
+    return first.select("file", F.when(F.col("_c") == ">", "fasta").when(F.col("_c") == "@", "fastq").alias("format"))
 
 
 def fasta(records: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def fastq(lines: DataFrame) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    return fastq(numbered(spark.read.text(path), 4))
+    return fastq(numbered(read_lines(spark, path), 4))
 
 
 def to_fastq(reads: DataFrame) -> DataFrame:
@@ -49,16 +54,33 @@ def to_fastq(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name", suffix), "seq", F.lit("+"), "qual").alias("value"))
 
 
+def read_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Alignments of files with their ``library`` and ``sample``, those of the read group that the tag RG names in the same
+    file's header."""
+    lines = read_lines(spark, path)
+    groups = header_groups(lines).select("file", F.col("id").alias("_rg"), "library", "sample")
+    rows = sam(lines, "file")
+    return rows.withColumn("_rg", F.col("tags")["RG"]).join(F.broadcast(groups), ["file", "_rg"], "left").drop("_rg")
+
+
+def header_groups(lines: DataFrame) -> DataFrame:
+    """Read groups of header lines: ``file`` (if there), ``id``, ``library``, ``sample``."""
+    field = lambda name: F.nullif(F.regexp_extract("value", rf"\t{name}:([^\t]+)", 1), F.lit(""))
+    kept = [c for c in lines.columns if c == "file"]
+    return lines.where(F.col("value").startswith("@RG\t")).select(*kept, field("ID").alias("id"), field("LB").alias("library"), field("SM").alias("sample")).where("id is not null").dropDuplicates([*kept, "id"])
+
+
 SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 
-def sam(text: DataFrame) -> DataFrame:
-    """Alignments, header lines left out; ``pos`` and ``pnext`` from 0, optional fields in the map ``tags``."""
+def sam(text: DataFrame, *kept: str) -> DataFrame:
+    """Alignments, header lines left out; ``pos`` and ``pnext`` from 0, optional fields in the map ``tags``, and the columns
+    ``kept``."""
     body = text.where(~F.col("value").startswith("@"))
     numbers = {"flag", "mapq", "tlen", "pos", "pnext"}
     columns = [(_field(k).cast("long") - (1 if n in ("pos", "pnext") else 0) if n in numbers else _field(k)).alias(n) for k, n in enumerate(SAM)]
     more = F.slice(F.split("value", "\t"), 12, 1 << 20)
-    return body.select(*columns, F.map_from_entries(F.transform(more, lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, r"^..:.:(.*)$", 1)))).alias("tags"))
+    return body.select(*kept, *columns, F.map_from_entries(F.transform(more, lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, r"^..:.:(.*)$", 1)))).alias("tags"))
 
 
 def to_sam(rows: DataFrame, tags: Column | None = None) -> DataFrame:
@@ -94,6 +116,67 @@ def insertions(text: DataFrame) -> DataFrame:
     return text.select(_field(0).alias("contig"), _field(1).cast("long").alias("left"), _field(3).alias("bases")).where("not contains(bases, 'N')")
 
 
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    return bed(read_lines(spark, path))
+
+
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    return vcf(read_lines(spark, path))
+
+
+def read_gff(spark: SparkSession, path: str, *, merge: int | None = 5) -> DataFrame:
+    """Transcripts of GFF3 or GTF files; names count within a file."""
+    return gff(read_lines(spark, path), merge=merge)
+
+
+#: Features that are parts of a transcript.
+_PARTS = ("exon", "CDS", "five_prime_UTR", "three_prime_UTR", "start_codon", "stop_codon")
+
+
+def gff(lines: DataFrame, *, merge: int | None = 5, levels: int = 8) -> DataFrame:
+    """Transcripts of GFF3 or GTF rows: ``tx_id``, ``gene``, ``contig``, ``strand``, ``start``, ``end`` and ``exons`` (half open,
+    from 0, in order).
+
+    In GFF3 a part names its parents, several with commas, and these theirs: the gene of a transcript is the topmost of its
+    ancestors, found by a join a level, up to ``levels``. In GTF, parts name transcript and gene. A transcript has its exons,
+    or where it has none its coding parts; a feature other than a part that nothing names as parent and that has no parts
+    itself (a gene without children) is a transcript of one exon. Transcripts shrink to the span of their exons; exons up
+    to ``merge`` bases apart are one, overlapping ones always. Rows of one transcript on several contigs or strands are a
+    transcript on each. Features that only come as parents of others are left out, and so are rows of fewer than nine
+    columns and comments; what follows a line ##FASTA has no columns.
+    """
+    text = lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+    f = F.split("value", "\t")
+    rows = text.where(~F.col("value").startswith("#") & (F.size(f) >= 9))
+    gff3 = lambda name: F.nullif(F.regexp_extract(F.get(f, 8), rf"(?:^|;)\s*{name}=([^;]*)", 1), F.lit(""))
+    old = lambda name: F.nullif(F.regexp_extract(F.get(f, 8), rf'(?:^|;)\s*{name} "([^"]*)"', 1), F.lit(""))
+    rows = rows.select(
+        "file", F.get(f, 0).alias("contig"), F.get(f, 2).alias("kind"), (F.get(f, 3).cast("long") - 1).alias("start"), F.get(f, 4).cast("long").alias("end"), F.get(f, 6).alias("strand"),
+        gff3("ID").alias("id"), F.coalesce(gff3("Parent"), old("transcript_id")).alias("parents"), gff3("Parent").isNull().alias("gtf"), old("gene_id").alias("gene"),
+    ).where("start < end")
+    parts = rows.where(F.col("kind").isin(*_PARTS)).withColumn("tx_id", F.explode(F.split("parents", ",")))
+    features = rows.where(~F.col("kind").isin(*_PARTS) & F.col("id").isNotNull())
+    links = features.where("parents is not null").select("file", "id", F.explode(F.split("parents", ",")).alias("parent")).distinct()
+    # the topmost ancestor of each feature, by a join a level
+    tops = links.groupBy("file", "id").agg(F.min("parent").alias("top"))
+    up = tops.select("file", F.col("id").alias("top"), F.col("top").alias("_next"))
+    for _ in range(levels - 1):
+        tops = tops.join(up, ["file", "top"], "left").select("file", "id", F.coalesce("_next", "top").alias("top"))
+    exons = parts.where("kind in ('exon', 'CDS')").select("file", "contig", "strand", "tx_id", "gene", "start", "end", (F.col("kind") == "exon").alias("exon"))
+    lonely = features.join(parts.select("file", F.col("tx_id").alias("id")).distinct(), ["file", "id"], "left_anti").join(links.select("file", F.col("parent").alias("id")).distinct(), ["file", "id"], "left_anti")
+    exons = exons.unionByName(lonely.select("file", "contig", "strand", F.col("id").alias("tx_id"), "gene", "start", "end", F.lit(True).alias("exon")))
+    key = ["file", "contig", "tx_id", "strand"]
+    w = Window.partitionBy(*key)
+    exons = exons.withColumn("_has", F.max("exon").over(w)).where("exon or not _has")
+    ordered = w.orderBy("start", "end")
+    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.col("start") >= reach if merge is None else F.col("start") - reach > merge
+    joined = exons.withColumn("_new", F.when(apart, 1).otherwise(0)).withColumn("_g", F.sum("_new").over(ordered)).groupBy(*key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("gene").alias("gene"))
+    found = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("gene").alias("gene"))
+    named = found.join(tops.withColumnRenamed("id", "tx_id"), ["file", "tx_id"], "left")
+    return named.select("tx_id", F.coalesce("gene", "top", "tx_id").alias("gene"), "contig", "strand", "start", "end", "exons")
+
+
 def gtf(text: DataFrame, *, merge: int = 5) -> DataFrame:
     """Transcripts of exon rows: ``tx_id``, ``gene``, ``contig``, ``strand``, ``exons`` (half open, from 0, in order); exons up
     to ``merge`` bases apart are one."""

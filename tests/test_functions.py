@@ -116,7 +116,6 @@ def test_text_edges(spark):
     assert [tuple(r) for r in T.bed(lines("#x", "c\t5\t9", "c\t7", "track a")).collect()] == [("c", 5, 9), ("c", 6, 7)]
     site = T.vcf(lines("##x", "c\t10\t.\tA\tC,G\t3.5\tPASS\tDP=4;AF=0.5\tGT:DP\t0/1:3\t1/1")).first()
     assert (site.pos, site.alt, site.info["DP"], site.samples[0]["DP"], site.samples[1]) == (9, ["C", "G"], "4", "3", {"GT": "1/1"})
-    assert T.looks_like(lines("", "@r")) == "fastq"
 
 
 def test_p_values():
