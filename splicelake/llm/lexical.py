@@ -79,8 +79,9 @@ def search(docs: DataFrame, items: DataFrame, *, top: int = TOP, block_terms: in
     """
     pairs = checkpointed(item_terms(items))
     blocks = max(1, -(-pairs.count() // block_terms))
-    found = [_block(docs, pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect(), top) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    each = (pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() for b in range(blocks))
+    found = [_block(docs, block, top) for block in each if block]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
 
 
 def _block(docs: DataFrame, pairs: list[Row], top: int) -> DataFrame:

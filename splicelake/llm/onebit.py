@@ -47,11 +47,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, on the vectors as they are."""
+    """Row by row, in double precision, on the vectors as they are; scaled first where squares overflow or vanish."""
     dot = lambda x, y: np.einsum("ij,ij->i", x, y)
     with np.errstate(over="ignore", invalid="ignore", under="ignore", divide="ignore"):
-        out = dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
-    odd = ~np.isfinite(out)  # squares that overflow or vanish
+        aa, bb = dot(a, a), dot(b, b)
+        out = dot(a, b) / (np.sqrt(aa) * np.sqrt(bb))
+    odd = (np.minimum(aa, bb) < 1e-250) | (np.maximum(aa, bb) > 1e250)
     if odd.any():
         out[odd] = dot(unit(a[odd]), unit(b[odd]))
     return out

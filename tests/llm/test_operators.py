@@ -54,8 +54,12 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_covers_its_table(spark, docs, name):
     rows = QUERIES[name](spark, SF)
-    if name.startswith(("op4_", "op5_")):
+    if name.startswith(("op4_", "op5_", "op12_")):
         assert rows.count() > 0
+    elif name.startswith("op11_"):
+        assert rows.count() == 5 * spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    elif name.startswith("op13_"):
+        assert rows.count() == 50 * spark.read.parquet(f"{SF}/benchmark.parquet").count()
     elif name.startswith("op9_"):
         assert rows.where("piece = 0").count() == docs.count()
     else:
