@@ -41,25 +41,6 @@ def _(t: Tables) -> DataFrame:
     return D.top_junctions(rows, 10_000_000).select("contig", F.col("left").alias("l"), F.col("right").alias("r"), "skip")
 
 
-def indel_sql(test: str) -> str:
-    return f"WITH {STEP} SELECT contig, r AS place, abs(bl - r) AS n, count(*) AS support FROM st WHERE contig = bc AND reverse = br AND {test} GROUP BY ALL"
-
-
-def close(t: Tables, test: str) -> DataFrame:
-    pairs = D.steps(segments(t)).where("contig = b_contig and reverse = b_reverse").withColumn("d", F.col("b_left") - F.col("right")).where(test)
-    return pairs.groupBy("contig", F.col("right").alias("place"), F.abs("d").alias("n")).agg(F.count(F.lit(1)).alias("support"))
-
-
-@register("disc_small_del", indel_sql("bl - r BETWEEN 1 AND 30"))
-def _(t: Tables) -> DataFrame:
-    return close(t, "d between 1 and 30")
-
-
-@register("disc_small_ins", indel_sql("bl - r BETWEEN -30 AND -1"))
-def _(t: Tables) -> DataFrame:
-    return close(t, "d between -30 and -1")
-
-
 GENOME = "gn AS (SELECT contig, seq FROM v_genome)"
 SITES = f"""{GENOME}, ps AS (SELECT contig, seq, unnest(range(1, length(seq))) AS i FROM gn WHERE length(seq) > 1), dn AS (SELECT contig, i - 1 AS place FROM ps WHERE substr(seq, CAST(i AS INTEGER), 2) = 'GT'),
 ac AS (SELECT contig, i - 1 AS place FROM ps WHERE substr(seq, CAST(i AS INTEGER), 2) = 'AG')"""

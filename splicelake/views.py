@@ -57,6 +57,17 @@ VIEWS: dict[str, str] = {
       from (select doc_id * 1000000 + k as read_id, cast(1 + (doc_id + k) % 2 as int) as mate, 'read' || (doc_id * 1000000 + k) as name, {_TO_BASES.format(text="substr(text, cast(k * 120 + 1 as int), 120)")} as seq
         from (select doc_id, text, @EACH@(cast(floor((length(text) - 1) / 120.0) as bigint)) as k from {{documents}} where length(text) > 0) c) x""",
     "v_genome": f"""select 'p' || page_id as contig, {_TO_BASES.format(text="html")} as seq from {{pages}}""",
+    # three segments of 25 bases, planted in each 500 bases of a contig: d bases behind the first seam an intron (N), a deletion
+    # (D), an insertion (I) of n bases or nothing (=) lies; l1, l2, l3 are where the segments are, r1, r2, r3 the genome there
+    "v_planted": """select contig, k, a, kind, d, n, bases, a as l1, case when kind = 'I' then a + 25 - n else a + 25 + n end as l2, case when kind = 'I' then a + 50 - n else a + 50 + n end as l3,
+      substr(seq, cast(a + 1 as int), 25) as r1, substr(seq, cast(case when kind = 'I' then a + 26 - n else a + 26 + n end as int), 25) as r2, substr(seq, cast(case when kind = 'I' then a + 51 - n else a + 51 + n end as int), 25) as r3
+      from (select contig, seq, k, a, kind, d, n, substr(seq, cast(a + 1 as int), cast(25 + d as int)) || case when kind = 'I' then substr('TGCATGCA', cast(1 + k % 4 as int), cast(n as int)) || substr(seq, cast(a + 26 + d as int), cast(50 - d - n as int))
+          else substr(seq, cast(a + 26 + d + n as int), cast(50 - d as int)) end as bases
+        from (select contig, seq, k, 40 + 500 * k as a, kind, case when kind = '=' then cast(0 as bigint) when kind = 'I' then (id + 3 * k) % 5 - 2 else (id + 3 * k) % 8 - 3 end as d,
+            case when kind = 'N' then 60 + (7 * id + k) % 200 when kind = '=' then cast(0 as bigint) else 1 + (id + k) % 3 end as n
+          from (select contig, seq, id, k, substr('NDI=', cast(1 + (id + k) % 4 as int), 1) as kind
+            from (select contig, seq, cast(substr(contig, 2) as bigint) as id, @EACH@(cast(floor((length(seq) - 400) / 500.0) as bigint)) as k from
+              (select 'p' || page_id as contig, @PAGE@ as seq from {pages}) p where length(seq) >= 400) q) x) y) z""",
     "v_intervals": """select event_id, 'u' || (user_id % 8) as chrom, event_id * 37 % 50000 as iv_begin,
       event_id * 37 % 50000 + 1 + cast(floor(abs(value)) as bigint) % 500 as iv_end from {events}""",
     "v_regions": """select o_orderkey, 'u' || (o_custkey % 8) as chrom, o_orderkey * 53 % 50000 as iv_begin,
@@ -87,7 +98,7 @@ VIEWS: dict[str, str] = {
       substr(repeat(translate(md5('l' || o_orderkey), '0123456789abcdef', 'ACGTACGTACGTACGT'), 2), 1, 46) as left_seq,
       substr(repeat(translate(md5('r' || o_orderkey), '0123456789abcdef', 'ACGTACGTACGTACGT'), 2), 1, 46) as right_seq from {orders}""",
 }
-VIEWS = {name: sql.replace("@ROW@", _ROW) for name, sql in VIEWS.items()}
+VIEWS = {name: sql.replace("@ROW@", _ROW).replace("@PAGE@", _TO_BASES.format(text="html")) for name, sql in VIEWS.items()}
 
 
 class Tables:
