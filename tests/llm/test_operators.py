@@ -419,6 +419,37 @@ def test_edit_similarity(spark):
     assert all(r.want == r.got for r in df.collect())
 
 
+def test_edit_similarity_of_repetitive_lines(spark):
+    """Lines that repeat their words, with words put in, left out and changed: the same verdict as the distance's."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    rows = []
+    for i in range(300):
+        few = [word() for _ in range(rng.choice([2, 5, 500]))]
+        line = [few[k % len(few)] if i % 2 else rng.choice(few) for k in range(rng.randint(60, 160))]
+        other, rate = [], rng.uniform(0.03, 0.12)
+        for w in line:
+            kind = rng.random()
+            other += [] if kind < rate else [word()] if kind < 2 * rate else [w, word()] if kind < 3 * rate else [w]
+        rows.append((" ".join(line), " ".join(other)))
+    apart = "levenshtein(x, y) <= floor(0.2 * greatest(length(x), length(y)) + 1e-9)"
+    got = spark.createDataFrame(rows, "x string, y string").select(linededup.similar("x", "y", 0.8).alias("got"), F.expr(apart).alias("want")).collect()
+    assert all(r.got == r.want for r in got) and 50 < sum(r.want for r in got) < 250
+
+
+def test_lines_of_one_template(spark):
+    """Two hundred lines of the same twelve words and an id; ids differ in one letter in pairs, else altogether."""
+    rng = random.Random(14)
+    template = " ".join(f"template{c}" for c in "abcdefghijkl")
+    rows = []
+    for i in range(100):
+        name = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=50))
+        at = rng.randrange(50)
+        rows += [(i, f"{template} {name}"), (1000 + i, f"{template} {name[:at]}{'#' if name[at] == 'z' else chr(ord(name[at]) + 1)}{name[at + 1 :]}".replace("#", "a"))]
+    gone = [(r.doc_id, r.kept_doc_id) for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(gone) == [(1000 + i, i) for i in range(100)]
+
+
 def test_line_edges(edges, empty, spark):
     removed = linededup.removed_lines(edges)
     assert sorted((r.doc_id, r.line) for r in removed.collect()) == [(1, 0), (5, 0), (5, 0)]  # the null doc_id comes first
@@ -653,3 +684,20 @@ def test_recall_of_fuzzy_passages(spark):
     recall = {share: len(found & pairs) / len(pairs) for share, pairs in planted.items()}
     assert recall[0.0] == 1 and recall[0.05] >= 0.9 and recall[0.1] >= 0.7, recall
     assert found <= set().union(*planted.values())
+
+
+@pytest.mark.parametrize("decoys", [0, 9, 30])
+def test_passages_whose_parts_others_hold(spark, decoys):
+    """Pairs that share sixty words, and others that hold 22 of these; who holds the parts does not matter."""
+    rng = random.Random(31)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, n = [], 30
+    for i in range(n):
+        passage = some(60)
+        rows += [(i, some(30) + passage + some(20)), (100 + i, some(10) + passage + some(45))]
+        for k in range(decoys):
+            at = rng.randrange(39)
+            rows.append((1000 + 40 * i + k, some(40) + passage[at : at + 22] + some(40)))
+    found = passages.shared_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    pairs = {(min(r.doc_id, r.source_doc_id), max(r.doc_id, r.source_doc_id)) for r in found}
+    assert pairs == {(i, 100 + i) for i in range(n)}
