@@ -242,34 +242,6 @@ def _(t: Tables) -> DataFrame:
     return V.bias_p_values(V.anno16(t.v_pileup))
 
 
-DOSE = "dz AS (SELECT site, sample, CASE WHEN pl0 <= pl1 AND pl0 <= pl2 THEN 0 WHEN pl1 <= pl2 THEN 1 ELSE 2 END AS d FROM v_genotypes)"
-
-
-def ld_sql(pairs: str) -> str:
-    return f"""WITH {DOSE}, pr AS ({pairs}), sm AS (SELECT a, b, count(*) AS n, sum(x.d) AS sx, sum(y.d) AS sy, sum(x.d * y.d) AS sxy, sum(x.d * x.d) AS sxx, sum(y.d * y.d) AS syy
-      FROM pr JOIN dz x ON x.site = a JOIN dz y ON y.site = b AND y.sample = x.sample GROUP BY a, b)
-    SELECT a, b, n, CASE WHEN (n * sxx - sx * sx) * (n * syy - sy * sy) > 0 THEN CAST(n * sxy - sx * sy AS DOUBLE) * (n * sxy - sx * sy) / ((n * sxx - sx * sx) * (n * syy - sy * sy)) END AS r2 FROM sm"""
-
-
-@register("var_ld_adjacent", ld_sql("SELECT * FROM (SELECT site AS a, lead(site) OVER (PARTITION BY contig ORDER BY pos, site) AS b FROM v_variants) WHERE b IS NOT NULL"))
-def _(t: Tables) -> DataFrame:
-    following = F.lead("site").over(Window.partitionBy("contig").orderBy("pos", "site"))
-    return V.ld(t.v_genotypes, t.v_variants.select(F.col("site").alias("a"), following.alias("b")).where("b is not null"))
-
-
-@register("var_ld_pairs", ld_sql("SELECT site AS a, site + 3 AS b FROM v_variants"))
-def _(t: Tables) -> DataFrame:
-    return V.ld(t.v_genotypes, t.v_variants.select(F.col("site").alias("a"), (F.col("site") + 3).alias("b")))
-
-
-@register("var_ld_matrix", ld_sql("SELECT v.site AS a, w.site AS b FROM v_variants v JOIN v_variants w ON v.contig = w.contig AND v.site <> w.site AND w.pos >= v.pos AND w.pos - v.pos < 2000"))
-def _(t: Tables) -> DataFrame:
-    later = t.v_variants.select(F.col("contig"), F.col("site").alias("b"), F.col("pos").alias("q"), (F.col("pos") + 1).alias("q_end"))
-    reach = t.v_variants.select("contig", F.col("site").alias("a"), F.col("pos").alias("p"), (F.col("pos") + 2000).alias("p_end"))
-    met = I.interval_join(I.Side(reach, "contig", "p", "p_end"), I.Side(later, "contig", "q", "q_end"), test=F.expr("a != b"))
-    return V.ld(t.v_genotypes, met.select("a", "b"))
-
-
 @register(
     "var_permute",
     """WITH s AS (SELECT unnest(range(0, 20)) AS seed), g AS (SELECT site, seed, CASE WHEN substr(md5(seed || ':' || sample), 1, 1) < '8' THEN 1 ELSE 0 END AS grp, pl0 FROM v_genotypes, s),

@@ -61,7 +61,7 @@ def point_join(points: DataFrame, contig: str, at: str, right: Side, *, how: str
 
 
 #: Positions of a bin when a contig's rows are taken in order.
-BIN = 1 << 16
+ORDERED_BIN = 1 << 16
 
 
 def earlier(rows: DataFrame, contig: str, value: Column, name: str) -> DataFrame:
@@ -74,6 +74,17 @@ def earlier(rows: DataFrame, contig: str, value: Column, name: str) -> DataFrame
     return rows.join(per.select(contig, "_bin", F.max("_far").over(w).alias(name)), [contig, "_bin"])
 
 
+def following(rows: DataFrame, contig: str, at: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the ``value`` of the contig's next row in the order of ``value``, which must rise with ``at``; null
+    in the last. Only the first value of each bin is seen by contig."""
+    binned = rows.withColumns({"_bin": F.floor(F.col(at) / ORDERED_BIN), "_value": value})
+    inner = F.lead("_value").over(Window.partitionBy(contig, "_bin").orderBy("_value"))
+    firsts = binned.groupBy(contig, "_bin").agg(F.min("_value").alias("_first"))
+    later = firsts.select(contig, "_bin", F.lead("_first").over(Window.partitionBy(contig).orderBy("_bin")).alias("_later"))
+    out = binned.withColumn("_inner", inner).join(later, [contig, "_bin"])
+    return out.withColumn(name, F.coalesce("_inner", "_later")).drop("_bin", "_value", "_inner", "_later")
+
+
 def merged(rows: DataFrame, contig: str, start: str, end: str, *, touching: bool = True) -> DataFrame:
     """Union of intervals: ``contig``, ``start``, ``end`` and ``n``, the rows in each.
 
@@ -85,7 +96,7 @@ def merged(rows: DataFrame, contig: str, start: str, end: str, *, touching: bool
     reach = F.greatest("_carry", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     new = reach.isNull() | ((F.col(start) > reach) if touching else (F.col(start) >= reach))
     opened = earlier(binned.withColumn("_new", F.when(new, F.col(start))), contig, F.col("_new"), "_open")
-    own = F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own = F.max("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))  # equal intervals come in any order here
     grouped = opened.withColumn("_island", F.coalesce(own, "_open"))
     return grouped.groupBy(contig, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
@@ -111,7 +122,7 @@ def split_at_bounds(side: Side) -> DataFrame:
     """Each interval cut at all starts and ends of its contig that lie inside it."""
     r = side.rows
     bounds = r.select(side.contig, F.explode(F.array(side.start, side.end)).alias("_s")).distinct()
-    pieces = bounds.withColumn("_e", F.lead("_s").over(Window.partitionBy(side.contig).orderBy("_s"))).where("_e is not null")
+    pieces = following(bounds, side.contig, "_s", F.col("_s"), "_e").where("_e is not null")
     met = interval_join(side, Side(pieces, side.contig, "_s", "_e"))
     return met.withColumn(side.start, F.col("_s")).withColumn(side.end, F.col("_e")).drop("_s", "_e")
 

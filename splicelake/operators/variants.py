@@ -153,21 +153,6 @@ def likelihoods(pile: DataFrame, *, keep: float = 0.83) -> DataFrame:
     return rows.select("contig", "pos", "sample", *(F.least(F.lit(255), F.floor(F.col(x) - low + 0.5)).cast("long").alias(f"pl{k}") for k, x in enumerate("abc")))
 
 
-def ld(likelihood: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``r2`` of pairs of sites (``a``, ``b``): squared correlation of their samples' most probable allele counts; null
-    where one does not vary."""
-    count = F.when((F.col("pl0") <= F.col("pl1")) & (F.col("pl0") <= F.col("pl2")), 0).when(F.col("pl1") <= F.col("pl2"), 1).otherwise(2)
-    dose = likelihood.select("site", "sample", count.alias("d"))
-    x = dose.select(F.col("site").alias("a"), "sample", F.col("d").alias("x"))
-    y = dose.select(F.col("site").alias("b"), "sample", F.col("d").alias("y"))
-    sums = pairs.join(x, "a").join(y, ["b", "sample"]).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-    )
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
-    return sums.select("a", "b", "n", F.when(var > 0, cov.cast("double") * cov / var).alias("r2"))
-
-
 def _fisher(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact p-value of a table of two rows: all tables with these margins that are no more probable."""
     n1, m1, n = a + b, a + c, a + b + c + d

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splicelake.catalog import ORACLES, QUERIES, alignments, coverage, discovery, fusions, hits, intervals, junctions, reads, samtables, seams, sequences, sources, variants
+from splicelake.catalog import ORACLES, QUERIES, alignments, coverage, discovery, fusions, haplotypes, hits, intervals, junctions, reads, samtables, seams, sequences, sources, variants
 
-__all__ = ["ORACLES", "QUERIES", "alignments", "coverage", "discovery", "flagship", "fusions", "hits", "intervals", "junctions", "reads", "samtables", "seams", "sequences", "sources", "variants"]
+__all__ = ["ORACLES", "QUERIES", "alignments", "coverage", "discovery", "flagship", "fusions", "haplotypes", "hits", "intervals", "junctions", "reads", "samtables", "seams", "sequences", "sources", "variants"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,4 +128,6 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
