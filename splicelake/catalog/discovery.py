@@ -142,15 +142,36 @@ def _(t: Tables) -> DataFrame:
     return mates(t).where("c1 = c2 and s2 >= e1").groupBy("insert_id").agg(F.min(F.col("s2") - F.col("e1")).alias("inner_dist"))
 
 
-CLOSED = f"""SELECT DISTINCT insert_id AS pair_id, c1 AS contig, j.jl AS l, j.jr AS r FROM ({MATES}) m JOIN (SELECT DISTINCT contig, lft + m1 - 1 AS jl, lft + m1 + intron AS jr FROM v_hits WHERE intron > 0) j
-  ON j.contig = c1 AND c1 = c2 AND e1 <= jl AND jr <= s2 AND s2 - e1 - (jr - jl - 1) BETWEEN 50 - 20 - 35 AND 50 + 20 + 35"""
+#: Mean and deviation of the distance of mates in closed pairs, and what the distance of a chain may be off.
+MEAN, SD, WIDE = 200, 20, 55
+CLOSE = """m AS (SELECT 'p' || (a.insert_id % 50) AS contig, a.insert_id AS pair_id, a.lft % 3000 AS s1, a.lft % 3000 + a.m1 AS e1, b.lft % 3000 AS s2, b.lft % 3000 + b.m1 AS e2 FROM v_hits a JOIN v_hits b ON a.insert_id = b.insert_id AND a.mate = 1 AND b.mate = 2),
+q AS (SELECT pair_id, contig, CASE WHEN s1 < s2 THEN e1 ELSE e2 END AS st, CASE WHEN s1 < s2 THEN s2 ELSE s1 END AS en FROM m),
+p AS (SELECT * FROM (SELECT * FROM q WHERE en > st QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY en - st, st) = 1) WHERE en - st BETWEEN 50 AND 5000 AND abs(en - st - 200) > 20),
+mt AS (SELECT contig, i AS place, substr(seq, CAST(i + 1 AS INTEGER), 2) AS motif FROM (SELECT contig, seq, unnest(range(length(seq) - 1)) AS i FROM v_genome WHERE contig IN (SELECT contig FROM p))),
+dn AS (SELECT contig, place FROM mt WHERE motif = 'GT'), ac AS (SELECT contig, place + 2 AS place FROM mt WHERE motif = 'AG')"""
+
+
+def hop_sql(k: int, states: str, least: int) -> str:
+    return f"""d{k} AS (SELECT s.*, dn.place AS donor, used + dn.place - s.pl AS u2 FROM {states} s JOIN dn ON dn.contig = s.contig AND dn.place >= s.pl + {least} AND dn.place <= s.pl + {MEAN + WIDE} - used AND dn.place + 50 <= en + 5),
+    h{k} AS (SELECT d.*, ac.place AS nx, abs(u2 + en - ac.place - {MEAN}) <= {WIDE} AS done FROM d{k} d JOIN ac ON ac.contig = d.contig AND ac.place >= donor + 50 AND ac.place <= donor + 5000 AND ac.place <= en + 5)"""
+
+
+CLOSED = f"""WITH {CLOSE}, s0 AS (SELECT *, st AS pl, 0 AS used FROM p), {hop_sql(1, "s0", -5)}, s1 AS (SELECT DISTINCT pair_id, contig, st, en, nx AS pl, u2 AS used FROM h1 WHERE u2 + 100 <= {MEAN + WIDE}),
+{hop_sql(2, "s1", 100)}, s2 AS (SELECT DISTINCT pair_id, contig, st, en, nx AS pl, u2 AS used FROM h2 WHERE u2 + 100 <= {MEAN + WIDE}), {hop_sql(3, "s2", 100)},
+k3 AS (SELECT * FROM h3 WHERE done), k2 AS (SELECT * FROM h2 WHERE done OR (pair_id, nx, u2) IN (SELECT (pair_id, pl, used) FROM k3)), k1 AS (SELECT * FROM h1 WHERE done OR (pair_id, nx, u2) IN (SELECT (pair_id, pl, used) FROM k2))
+SELECT pair_id, contig, donor - 1 AS l, nx AS r FROM k1 UNION SELECT pair_id, contig, donor - 1, nx FROM k2 UNION SELECT pair_id, contig, donor - 1, nx FROM k3"""
 
 
 @register("disc_closure", CLOSED)
 def _(t: Tables) -> DataFrame:
-    pairs = mates(t).where("c1 = c2 and e1 < s2").select(F.col("insert_id").alias("pair_id"), F.col("c1").alias("contig"), F.col("e1").alias("start"), F.col("s2").alias("end"))
-    introns = J.extract(t.v_hits).select("contig", "left", "right").distinct()
-    return D.closures(pairs, introns, mean=50, sd=20).select("pair_id", "contig", F.col("left").alias("l"), F.col("right").alias("r"))
+    """The closest mates of each insert, closed over the motifs of the contig."""
+    hit = lambda n: t.v_hits.where(F.col("mate") == n).select("insert_id", (F.col("lft") % 3000).alias(f"s{n}"), (F.col("lft") % 3000 + F.col("m1")).alias(f"e{n}"))
+    both = hit(1).join(hit(2), "insert_id")
+    ends = both.select("insert_id", F.when(F.col("s1") < F.col("s2"), F.col("e1")).otherwise(F.col("e2")).alias("start"), F.greatest("s1", "s2").alias("end")).where("start < end")
+    near = ends.groupBy("insert_id").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("inner"), "start", "end")).alias("x"))
+    pairs = near.select(F.col("insert_id").alias("pair_id"), F.concat(F.lit("p"), (F.col("insert_id") % 50).cast("string")).alias("contig"), "x.start", "x.end")
+    motifs = D.sites(t.v_genome, "GT").withColumn("donor", F.lit(True)).unionByName(D.sites(t.v_genome, "AG").withColumn("donor", F.lit(False)))
+    return D.closures(pairs, motifs, mean=MEAN, sd=SD).select("pair_id", "contig", F.col("left").alias("l"), F.col("right").alias("r"))
 
 
 @register(

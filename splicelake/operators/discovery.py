@@ -35,8 +35,22 @@ def segment_gaps(segments: DataFrame, *, least: int = 50, most: int = 500_000) -
 
 
 def top_junctions(juncs: DataFrame, most: int) -> DataFrame:
-    """The ``most`` junctions of least ``skip``, then key."""
-    return juncs.orderBy("skip", "contig", "left", "right").limit(most)
+    """The ``most`` junctions of least ``skip``, then key.
+
+    Junctions are counted by skip, and skips are at most the longest intron: the skip at which ``most`` is reached comes from
+    a running sum of these counts, and only its own junctions are ranked, in cells of their contigs and places.
+    """
+    cell = F.floor(F.col("left") / 65_536)
+    sizes = juncs.groupBy("skip").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("skip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_room", F.lit(most) - before).where("_room > 0").select("skip", "_room", (F.col("_n") > F.col("_room")).alias("_cut"))
+    held = juncs.join(F.broadcast(sizes), "skip")
+    cut = held.where("_cut").withColumn("_cell", cell)
+    cells = cut.groupBy("contig", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("contig", "_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("contig", "_cell").orderBy("left", "right"))
+    ranked = cut.join(cells, ["contig", "_cell"]).withColumn("_k", F.col("_before") + place).where(F.col("_k") <= F.col("_room"))
+    return held.where("not _cut").select(*juncs.columns).unionByName(ranked.select(*juncs.columns))
 
 
 def sites(genome: DataFrame, motif: str) -> DataFrame:
@@ -133,15 +147,52 @@ def joined(segments: DataFrame, total: int, *, most: int = 500_000, back: int =
     return chain
 
 
-def closures(pairs: DataFrame, introns: DataFrame, *, mean: int, sd: int) -> DataFrame:
-    """Introns between mates too far apart without which the distance fits: ``pair_id``, ``contig``, ``start``, ``end`` of mates'
-    inner ends, and candidate introns ``left``, ``right``; one hop."""
+def closures(pairs: DataFrame, motifs: DataFrame, *, mean: int, sd: int, padding: int = 5, slack: int = 25, min_exon: int = 100, min_intron: int = 50, max_intron: int = 5000, hops: int = 3) -> DataFrame:
+    """Introns of every chain that closes a pair: ``pair_id``, ``contig``, ``left``, ``right`` (last and first exon base).
+
+    ``pairs`` have ``pair_id``, ``contig``, ``start`` and ``end``, the inner ends of mates; those ``min_intron`` to ``max_intron`` apart and
+    more than ``sd`` off the ``mean`` are searched. ``motifs`` have ``contig``, ``at`` and ``donor``: places of GT, else of AG. A chain
+    goes from the start to a donor, over an intron of ``min_intron`` to ``max_intron`` bases, and so on, up to ``hops`` introns with
+    exons of ``min_exon`` bases or more between them, to the end; the first donor may lie ``padding`` bases before the start, the
+    last intron end that much behind the end. What is left without introns is within ``sd`` + 2 ``padding`` + ``slack`` of the mean.
+
+    A hop is a join in bins; chains of a pair that reach one place with one length are one state, so states are bounded by
+    places and lengths, not by chains. The states from which the end is reached are then followed back.
+    """
     from splicelake.operators import intervals as I
 
-    side = I.Side(introns.select(F.col("contig").alias("_ic"), F.col("left").alias("_il"), F.col("right").alias("_ir")), "_ic", "_il", "_ir")
-    rest = F.expr("end - start - (_ir - _il - 1)")
-    fits = F.expr("start <= _il and _ir <= end") & rest.between(mean - sd - 35, mean + sd + 35)
-    return I.interval_join(I.Side(pairs, "contig", "start", "end"), side, test=fits).select("pair_id", "contig", F.col("_il").alias("left"), F.col("_ir").alias("right")).distinct()
+    wide = sd + 2 * padding + slack
+    inner = F.col("end") - F.col("start")
+    asked = pairs.where((inner >= min_intron) & (inner <= max_intron) & (F.abs(inner - mean) > sd)).select("pair_id", "contig", "start", "end")
+    site = lambda donor: motifs.where(F.col("donor") == donor).select(F.col("contig").alias("_sc"), F.col("at").alias("_at")).distinct()
+    state = asked.withColumns({"at": F.col("start"), "used": F.lit(0).cast("long")})
+    edges = []
+    for hop in range(hops):
+        least = F.lit(-padding) if hop == 0 else F.lit(min_exon)
+        reach = state.withColumns({"_from": F.col("at") + least, "_to": F.col("at") + (mean + wide) - F.col("used") + 1})
+        donors = I.point_join(site(True), "_sc", "_at", I.Side(reach, "contig", "_from", "_to"), bin_size=512).drop("_sc")
+        donors = donors.where(F.col("_at") + min_intron <= F.col("end") + padding)
+        donors = donors.select("pair_id", "contig", "start", "end", "at", "used", F.col("_at").alias("donor"), (F.col("used") + F.col("_at") - F.col("at")).alias("_used"))
+        tail = donors.withColumns({"_from": F.col("donor") + min_intron - 2, "_to": F.least(F.col("donor") + max_intron - 2, F.col("end") + padding - 2) + 1})
+        met = I.point_join(site(False), "_sc", "_at", I.Side(tail, "contig", "_from", "_to"), bin_size=512).drop("_sc", "_from", "_to")
+        steps = met.withColumns({"next": F.col("_at") + 2}).withColumn("_rest", F.col("end") - F.col("next"))
+        # what still can become a chain: the end is near enough, or another exon fits
+        done = F.abs(F.col("_used") + F.col("_rest") - mean) <= wide
+        more = F.col("_used") + min_exon <= mean + wide
+        steps = steps.where(done | more if hop < hops - 1 else done).select("pair_id", "contig", "at", "used", "donor", "next", "_used", done.alias("done"), "start", "end")
+        edges.append(steps)
+        state = steps.where(F.col("_used") + min_exon <= mean + wide).select("pair_id", "contig", "start", "end", F.col("next").alias("at"), F.col("_used").alias("used")).distinct()
+    found, good = [], None
+    for steps in reversed(edges):
+        kept = steps.where("done")
+        if good is not None:
+            kept = kept.unionByName(steps.where("not done").join(good, ["pair_id", "next", "_used"], "left_semi"))
+        good = kept.select("pair_id", F.col("at").alias("next"), F.col("used").alias("_used")).distinct()
+        found.append(kept.select("pair_id", "contig", (F.col("donor") - 1).alias("left"), F.col("next").alias("right")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def closure_motifs(pairs: DataFrame, genome: DataFrame, *, mean: int, sd: int, margin: int = 10, library: str | None = None) -> DataFrame:
