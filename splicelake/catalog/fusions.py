@@ -166,7 +166,7 @@ def genes(t: Tables) -> DataFrame:
     return named.groupBy("contig", "gene").agg((F.min("ex_start") * 8).alias("start"), (F.max("ex_end") * 8).alias("end"))
 
 
-@register("fp_gene_clean", f"SELECT contig, gene FROM (SELECT *, lag(e) OVER (PARTITION BY contig ORDER BY s, e DESC, gene) AS p FROM ({GENES}) WHERE gene NOT LIKE 'MIR%') WHERE p IS NULL OR e > p")
+@register("fp_gene_clean", f"SELECT contig, gene FROM (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e DESC, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ({GENES}) WHERE gene NOT LIKE 'MIR%') WHERE p IS NULL OR e > p")
 def _(t: Tables) -> DataFrame:
     return U.clean_genes(genes(t)).select("contig", "gene")
 
@@ -230,9 +230,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("fp_assembled", "SELECT f.fusion_id, count(a.fusion_id) AS n_assembled FROM v_fusions f LEFT JOIN v_fusions a ON a.contig1 = f.contig1 AND a.contig2 = f.contig2 AND a.rgt = f.rgt AND a.fusion_id <> f.fusion_id GROUP BY f.fusion_id")
 def _(t: Tables) -> DataFrame:
-    other = t.v_fusions.select("contig1", "contig2", "rgt", F.col("fusion_id").alias("a_id"))
-    met = t.v_fusions.join(other, ["contig1", "contig2", "rgt"], "left")
-    return met.groupBy("fusion_id").agg(F.count_if(F.col("a_id") != F.col("fusion_id")).alias("n_assembled"))
+    return U.assembled(t.v_fusions)
 
 
 SCORED = "SELECT *, CAST(n_reads * 2 + n_pairs - abs(n_reads - n_pairs) + least(300, left_ext * 10) + least(300, right_ext * 10) - least(300, abs(left_ext * 10 - right_ext * 10)) - n_span - least(abs(lft - rgt), 1000) AS BIGINT) AS score FROM v_fusions"

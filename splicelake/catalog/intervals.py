@@ -139,11 +139,8 @@ def _(t: Tables) -> DataFrame:
     FROM v_intervals WINDOW w AS (PARTITION BY chrom ORDER BY iv_begin, iv_end, event_id)) WHERE prev_end IS NOT NULL""",
 )
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("iv_begin", "iv_end", "event_id")
-    rows = t.v_intervals.withColumn("_b", F.lag("iv_begin").over(w)).withColumn("_e", F.lag("iv_end").over(w)).where("_e is not null")
-    return rows.select("event_id", I.distance(F.col("_b"), F.col("_e"), F.col("iv_begin"), F.col("iv_end")).alias("gap"))
+    rows = I.beside(t.v_intervals, "chrom", "iv_begin", F.struct("iv_begin", "iv_end", "event_id"), "_p", before=True).where("_p is not null")
+    return rows.select("event_id", I.distance(F.col("_p.iv_begin"), F.col("_p.iv_end"), F.col("iv_begin"), F.col("iv_end")).alias("gap"))
 
 
 @register("iv_begin_end", "SELECT chrom, min(iv_begin) AS first_begin, max(iv_end) AS last_end FROM v_intervals GROUP BY chrom")

@@ -34,10 +34,8 @@ def _(t: Tables) -> DataFrame:
 
 @register("sam_sort", "SELECT insert_id, ord, CAST(row_number() OVER (PARTITION BY rname ORDER BY pos, flag & 16 > 0, insert_id, ord) AS INTEGER) AS place FROM v_sam")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    ordered = S.sorted_by(t.v_sam)
-    return ordered.select(*KEY, F.row_number().over(Window.partitionBy("rname").orderBy("pos", S.has(16), *KEY)).alias("place"))
+    order = ["pos", S.has(16), *KEY]
+    return S.sorted_by(I.running(t.v_sam, ["rname"], "pos", order, F.lit(1), "place")).select(*KEY, F.col("place").cast("int").alias("place"))
 
 
 @register("sam_merge", "SELECT insert_id, ord, 'a' AS rg FROM v_sam WHERE ord <= 2 AND pos < 9000 UNION ALL SELECT insert_id, ord, 'b' FROM v_sam WHERE ord > 1 AND pos < 9000")

@@ -144,8 +144,8 @@ def _(t: Tables) -> DataFrame:
 
 @register("var_ldstats", "SELECT contig, count(*) FILTER (gap < 5000) AS strong, count(*) AS n, CAST(sum(gap) FILTER (gap < 5000) AS BIGINT) AS length FROM (SELECT contig, pos - lag(pos) OVER (PARTITION BY contig ORDER BY pos, site) AS gap FROM v_variants) WHERE gap IS NOT NULL GROUP BY contig")
 def _(t: Tables) -> DataFrame:
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("contig").orderBy("pos", "site"))
-    rows = t.v_variants.select("contig", gap.alias("gap")).where("gap is not null")
+    rows = I.beside(t.v_variants.select("contig", "pos", "site"), "contig", "pos", F.struct("pos", "site"), "before", before=True)
+    rows = rows.select("contig", (F.col("pos") - F.col("before.pos")).alias("gap")).where("gap is not null")
     return rows.groupBy("contig").agg(F.count_if(F.col("gap") < 5000).alias("strong"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("gap") < 5000, F.col("gap"))).alias("length"))
 
 

@@ -131,9 +131,10 @@ def clusters(fusions: DataFrame, reach: int = 500_000) -> DataFrame:
     key = ["contig1", "contig2", "dir"]
 
     def grouped(rows: DataFrame, by: list[str], at: str, out: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(at, "fusion_id")
-        far = F.when(F.col(at) - F.lag(at).over(w) > reach, 1).otherwise(0)
-        return rows.withColumn("_f", far).withColumn(out, F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+        named = rows.withColumn("_key", F.concat_ws("\t", *by))
+        named = I.beside(named, "_key", at, F.struct(at, "fusion_id"), "_p", before=True)
+        far = F.when(F.col(at) - F.col("_p")[at] > reach, 1).otherwise(0)
+        return I.running(named, ["_key"], at, [at, "fusion_id"], far, out).drop("_key", "_p")
 
     first = grouped(fusions, key, "lft", "_a")
     both = grouped(first, [*key, "_a"], "rgt", "_b")
@@ -163,10 +164,19 @@ def not_homologous(fusions: DataFrame, places: DataFrame, *, k: int = 23, half:
 
 
 def clean_genes(genes: DataFrame) -> DataFrame:
-    """Genes without those named MIR and those inside the gene before them."""
-    w = Window.partitionBy("contig").orderBy("start", F.desc("end"), "gene")
-    rows = genes.where(~F.col("gene").startswith("MIR")).withColumn("_e", F.lag("end").over(w))
-    return rows.where("_e is null or end > _e").drop("_e")
+    """Genes without those named MIR and those that end before a gene does that begins earlier. What reaches into a bin of
+    starts is the furthest end of those before."""
+    rows = genes.where(~F.col("gene").startswith("MIR")).withColumn("_bin", F.floor(F.col("start") / I.ORDERED_BIN))
+    w = Window.partitionBy("contig", "_bin").orderBy("start", F.desc("end"), "gene").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("_carry", F.max("end").over(w))
+    return I.earlier(rows, "contig", F.col("end"), "_carry").withColumn("_reach", reach).where("_reach is null or end > _reach").drop("_bin", "_carry", "_reach")
+
+
+def assembled(fusions: DataFrame) -> DataFrame:
+    """``fusion_id`` and ``n_assembled``: the other fusions between the same contigs at the same right place."""
+    key = ["contig1", "contig2", "rgt"]
+    sizes = fusions.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("_n"))
+    return fusions.join(sizes, key, "left").select("fusion_id", F.coalesce("_n", F.lit(0)).alias("n_assembled"))
 
 
 def slots(reads: DataFrame, n: int = 300) -> DataFrame:

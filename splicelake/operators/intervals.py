@@ -74,15 +74,28 @@ def earlier(rows: DataFrame, contig: str, value: Column, name: str) -> DataFrame
     return rows.join(per.select(contig, "_bin", F.max("_far").over(w).alias(name)), [contig, "_bin"])
 
 
-def following(rows: DataFrame, contig: str, at: str, value: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``: the ``value`` of the contig's next row in the order of ``value``, which must rise with ``at``; null
-    in the last. Only the first value of each bin is seen by contig."""
+def beside(rows: DataFrame, contig: str, at: str, value: Column, name: str, *, before: bool = False) -> DataFrame:
+    """``rows`` with ``name``: the ``value`` of the contig's next row (or the one ``before``) in the order of ``value``, which must
+    rise with ``at``; null in the last. Of each bin only one value is seen by contig."""
+    step = F.lag if before else F.lead
     binned = rows.withColumns({"_bin": F.floor(F.col(at) / ORDERED_BIN), "_value": value})
-    inner = F.lead("_value").over(Window.partitionBy(contig, "_bin").orderBy("_value"))
-    firsts = binned.groupBy(contig, "_bin").agg(F.min("_value").alias("_first"))
-    later = firsts.select(contig, "_bin", F.lead("_first").over(Window.partitionBy(contig).orderBy("_bin")).alias("_later"))
-    out = binned.withColumn("_inner", inner).join(later, [contig, "_bin"])
-    return out.withColumn(name, F.coalesce("_inner", "_later")).drop("_bin", "_value", "_inner", "_later")
+    inner = step("_value").over(Window.partitionBy(contig, "_bin").orderBy("_value"))
+    edge = (F.max if before else F.min)("_value").alias("_edge")
+    edges = binned.groupBy(contig, "_bin").agg(edge).select(contig, "_bin", step("_edge").over(Window.partitionBy(contig).orderBy("_bin")).alias("_outer"))
+    out = binned.withColumn("_inner", inner).join(edges, [contig, "_bin"])
+    return out.withColumn(name, F.coalesce("_inner", "_outer")).drop("_bin", "_value", "_inner", "_outer")
+
+
+def running(rows: DataFrame, contig: Sequence[str], at: str, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the contig's rows up to this one in an ``order`` that begins with ``at`` and
+    has no ties. Bins are summed up first, so no window holds a contig. ``at`` and ``contig`` must not be null."""
+    keys = list(contig)
+    binned = rows.withColumns({"_bin": F.floor(F.col(at) / ORDERED_BIN), "_value": value})
+    totals = binned.groupBy(*keys, "_bin").agg(F.sum("_value").alias("_total"))
+    above = F.coalesce(F.sum("_total").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.sum("_value").over(Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = binned.withColumn("_inner", inner).join(totals.select(*keys, "_bin", above.alias("_above")), [*keys, "_bin"])
+    return out.withColumn(name, F.col("_inner") + F.col("_above")).drop("_bin", "_value", "_inner", "_above")
 
 
 def merged(rows: DataFrame, contig: str, start: str, end: str, *, touching: bool = True) -> DataFrame:
@@ -122,7 +135,7 @@ def split_at_bounds(side: Side) -> DataFrame:
     """Each interval cut at all starts and ends of its contig that lie inside it."""
     r = side.rows
     bounds = r.select(side.contig, F.explode(F.array(side.start, side.end)).alias("_s")).distinct()
-    pieces = following(bounds, side.contig, "_s", F.col("_s"), "_e").where("_e is not null")
+    pieces = beside(bounds, side.contig, "_s", F.col("_s"), "_e").where("_e is not null")
     met = interval_join(side, Side(pieces, side.contig, "_s", "_e"))
     return met.withColumn(side.start, F.col("_s")).withColumn(side.end, F.col("_e")).drop("_s", "_e")
 

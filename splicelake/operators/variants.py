@@ -133,9 +133,15 @@ def filtered(sites: DataFrame, *, window: int = 10, min_depth: int = 3, max_dept
 
 
 def dense(sites: DataFrame, *, window: int, most: int) -> DataFrame:
-    """SNPs with more than ``most`` SNPs within ``window`` bases about them."""
-    w = Window.partitionBy("contig").orderBy("pos").rangeBetween(-window, window)
-    return sites.where(~is_indel()).withColumn("n_near", F.count(F.lit(1)).over(w)).where(F.col("n_near") > most)
+    """SNPs with more than ``most`` SNPs within ``window`` bases about them.
+
+    Each is counted in its cell, to which the SNPs up to ``window`` bases beyond its edges are lent.
+    """
+    size = max(window, 1 << 16)
+    cell = lambda shift: F.floor((F.col("pos") + shift) / size)
+    lent = sites.where(~is_indel()).withColumn("_own", cell(0)).withColumn("_cell", F.explode(F.array_distinct(F.array(cell(-window), cell(0), cell(window)))))
+    w = Window.partitionBy("contig", "_cell").orderBy("pos").rangeBetween(-window, window)
+    return lent.withColumn("n_near", F.count(F.lit(1)).over(w)).where((F.col("_cell") == F.col("_own")) & (F.col("n_near") > most)).drop("_own", "_cell")
 
 
 def likelihoods(pile: DataFrame, *, keep: float = 0.83) -> DataFrame:
