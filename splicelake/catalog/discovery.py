@@ -123,6 +123,26 @@ def _(t: Tables) -> DataFrame:
     return D.resolved(D.fusion_candidates(segments(t), least=3000)).select("contig1", "contig2", "lft", "rgt", "dir", "n")
 
 
+ENDS = "translate(reverse(substr(bases, 61)), 'ACGT', 'TGCA')"
+
+
+@register(
+    "disc_partner_rescue",
+    f"""WITH w AS (SELECT p.contig, k, bases, l3 - 15 AS f, substr(seq, CAST(l3 - 14 AS INTEGER), 70) AS flank FROM v_planted p JOIN v_genome USING (contig) WHERE NOT (k % 3 = 0 AND l3 - l1 - 25 >= 50) AND l3 + 55 - l1 - 25 >= 50 AND l3 >= 15),
+    s AS (SELECT *, unnest(range(0, length(flank) - 14)) AS i FROM w WHERE length(flank) >= 15),
+    e AS (SELECT contig, k, f, i, false AS reverse, hamming(substr(bases, 61), substr(flank, CAST(i + 1 AS INTEGER), 15)) AS wrong FROM s UNION ALL SELECT contig, k, f, i, true, hamming({ENDS}, substr(flank, CAST(i + 1 AS INTEGER), 15)) FROM s),
+    b AS (SELECT contig, k, f, reverse, min(wrong * 1000 + i) AS best FROM e GROUP BY ALL) SELECT contig || ':' || k AS read_id, contig, reverse, CAST(f + best % 1000 AS BIGINT) AS l FROM b WHERE best // 1000 <= 2""",
+)
+def _(t: Tables) -> DataFrame:
+    """Planted reads without hits of their last segment, but for each third, and mates thirty bases behind them."""
+    name = F.concat_ws(":", "contig", "k").alias("read_id")
+    seg = lambda k, at: t.v_planted.select("k", name, F.lit(k).alias("seg"), "contig", F.lit(False).alias("reverse"), F.col(at).alias("left"), (F.col(at) + 25).alias("right"), F.lit(0).alias("edit_dist"))
+    segs = seg(1, "l1").unionByName(seg(3, "l3").where("k % 3 = 0")).drop("k")
+    partners = t.v_planted.select(name, "contig", F.lit(True).alias("reverse"), (F.col("l3") + 55).alias("left"), (F.col("l3") + 80).alias("right"))
+    found = D.rescued(segs, partners, t.v_planted.select(name, F.col("bases").alias("seq")), Q.tiles(t.v_genome, size=512), size=512, total=3, mean=50, sd=20)
+    return found.select("read_id", "contig", "reverse", F.col("left").alias("l"))
+
+
 MATES = "SELECT a.insert_id, a.contig AS c1, b.contig AS c2, a.lft + a.m1 AS e1, b.lft AS s2, a.antisense_aln AS r1, b.antisense_aln AS r2 FROM v_hits a JOIN v_hits b ON a.insert_id = b.insert_id AND a.mate = 1 AND b.mate = 2"
 
 

@@ -127,6 +127,12 @@ def _(t: Tables) -> DataFrame:
     return Q.n_runs(t.v_genome, least=4).select("contig", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
+@register("seq_cutn_scored")
+def _(t: Tables) -> DataFrame:
+    """Stretches of ten bases or more, as texts have no longer ones, at the usual penalty."""
+    return Q.n_stretches(t.v_genome, least=10).select("contig", F.col("start").alias("s"), F.col("end").alias("e"))
+
+
 @register("fa_split_ranges", "WITH c AS (SELECT contig, length(seq) AS n, CAST(greatest(ceil((length(seq) - 30.0) / 300), 1) AS BIGINT) AS k FROM v_genome) SELECT contig, i * 300 AS s, CASE WHEN i = k - 1 THEN n ELSE (i + 1) * 300 END AS e FROM (SELECT *, unnest(range(k)) AS i FROM c)")
 def _(t: Tables) -> DataFrame:
     lengths = t.v_genome.select("contig", F.length("seq").cast("long").alias("length"))

@@ -186,6 +186,12 @@ def _(t: Tables) -> DataFrame:
     return both.select("site", (same - F.least("a0", "a1", "a2") - F.least("b0", "b1", "b2")).alias("ratio"))
 
 
+@register("var_group_contrast")
+def _(t: Tables) -> DataFrame:
+    groups = t.v_genotypes.select("sample", (F.col("sample") % 2 + 1).alias("group")).distinct()
+    return V.group_contrast(t.v_genotypes, groups)
+
+
 #: Genotypes of father, mother and child that inheritance allows.
 ALLOWED = [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if any(x + y == c for x in {a // 2, (a + 1) // 2} for y in {b // 2, (b + 1) // 2})]
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splicelake.functions.sequence import hamming
+from splicelake.functions.sequence import hamming, revcomp
 from splicelake.operators import sequences as Q
 
 
@@ -104,6 +104,37 @@ def splits(read: Column, left: Column, right: Column, *, most: int = 2, motifs:
     return F.filter(F.transform(F.sequence(F.lit(1), n - 1), one), lambda x: x["mismatches"] <= most)
 
 
+def rescued(segments: DataFrame, partners: DataFrame, reads: DataFrame, tiled: DataFrame, *, size: int, total: int, mean: int, sd: int, seg_length: int = 25, seg_mismatches: int = 2, least: int = 50, most: int = 500_000, mismatches: int = 2) -> DataFrame:
+    """Hits of the last segment of reads, found beside their mates: ``read_id``, ``seg``, ``contig``, ``reverse``, ``left``, ``right``,
+    ``edit_dist``, as ``segments`` have them.
+
+    Searched are reads whose first segment has hits, of which none is ``least`` to ``most`` bases before a hit of the last on
+    the same strand. Of such a read, each mate's hit (``partners``: ``read_id``, ``contig``, ``reverse``, ``left``, ``right``) on the other
+    strand, ``least`` to ``most`` bases behind a hit of the first segment, has a flank of ``mean + sd`` bases towards it, and as
+    many more inside as ``sd`` exceeds ``mean``. There the last bases of the read (up to 15, as many as a segment surely has
+    right) are looked for in both directions: the place of fewest mismatches, the first of equal ones, if they are
+    ``mismatches`` or fewer. Flanks that begin before the contig are left out.
+    """
+    apart = lambda back, a_left, a_right, b_left, b_right: F.when(F.col(back), F.col(a_left) - F.col(b_right)).otherwise(F.col(b_left) - F.col(a_right))
+    first = segments.where("seg = 1").select("read_id", "contig", "reverse", "left", "right")
+    last = segments.where(F.col("seg") == total).select("read_id", "contig", "reverse", F.col("left").alias("_l"), F.col("right").alias("_r"))
+    gap = apart("reverse", "left", "right", "_l", "_r")
+    whole = first.join(last, ["read_id", "contig", "reverse"]).where((gap >= least) & (gap < most)).select("read_id").distinct()
+    mates = partners.select("read_id", "contig", (~F.col("reverse")).alias("reverse"), F.col("left").alias("_l"), F.col("right").alias("_r"))
+    near = mates.join(first.join(whole, "read_id", "left_anti"), ["read_id", "contig", "reverse"]).where((gap >= least) & (gap < most))
+    flank, inside, n = mean + sd, max(sd - mean, 0), min(15, seg_length - seg_mismatches - 3)
+    begin = F.when(F.col("reverse"), F.col("_r") - inside).otherwise(F.col("_l") - flank)  # the mate is on the other strand
+    spans = near.select("read_id", "contig", begin.alias("from"), (begin + flank + inside).alias("to")).where("`from` >= 0").distinct()
+    pieces = Q.fetch(spans.select("contig", "from", "to").distinct(), tiled, "contig", "from", "to", size=size, out="_flank")
+    met = spans.join(pieces, ["contig", "from", "to"]).where(F.length("_flank") >= n).join(reads.where(F.length("seq") >= n).select("read_id", F.right("seq", F.lit(n)).alias("_end")), "read_id")
+    ways = F.array(F.struct(F.lit(False).alias("reverse"), F.col("_end").alias("_own")), F.struct(F.lit(True), revcomp(F.col("_end"))).cast("struct<reverse:boolean,_own:string>"))
+    each = met.select("read_id", "contig", "from", "_flank", F.inline(ways))
+    places = F.transform(F.sequence(F.lit(0), F.length("_flank") - n), lambda i: F.struct(hamming(F.col("_own"), F.substr("_flank", i + 1, F.lit(n))).alias("wrong"), i.alias("at")))
+    found = each.withColumn("_best", F.array_min(places)).where(F.col("_best.wrong") <= mismatches)
+    left = F.col("from") + F.col("_best.at")
+    return found.select("read_id", F.lit(total).alias("seg"), "contig", "reverse", left.alias("left"), (left + n).alias("right"), F.lit(0).alias("edit_dist")).distinct()
+
+
 def fusion_candidates(segments: DataFrame, *, least: int) -> DataFrame:
     """Neighbouring segments on different contigs or strands, or ``least`` bases or more apart: breakpoints, direction by
     strands, number of reads and least edit distance. The smaller contig and place come first."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +125,56 @@ def n_runs(genome: DataFrame, *, least: int = 10, size: int = TILE) -> DataFrame
     edge = (F.col("start") % size == 0) | (F.col("end") % size == 0)
     joined = I.merged(runs.where(edge).select("contig", "start", "end"), "contig", "start", "end")
     return runs.where(~edge).select("contig", "start", "end").unionByName(joined.select("contig", "start", "end")).where(F.col("end") - F.col("start") >= least)
+
+
+def scored_cuts(runs: list[tuple[int, int]], *, least: int, penalty: int) -> list[tuple[int, int]]:
+    """Stretches of a sequence that are mostly N, from its ``runs`` of N in order: a stretch ends where its score, one for each
+    N less ``penalty`` for each other base, is highest before it falls below 0, and begins where the score backwards from
+    there is. Those of ``least`` bases or more are given; the search goes on behind the end of each."""
+
+    def furthest(order: list[tuple[int, int]]) -> int:
+        """Of runs as (bases, gap before), how many are gone through up to the highest score."""
+        score = best = 0
+        at = 0
+        for k, (bases, gap) in enumerate(order):
+            score -= penalty * gap
+            if score < 0:
+                break
+            score += bases
+            if score > best:
+                best, at = score, k
+        return at
+
+    out, k = [], 0
+    while k < len(runs):
+        ahead = [(e - s, s - runs[i - 1][1] if i > k else 0) for i, (s, e) in enumerate(runs[k:], k)]
+        last = k + furthest(ahead)
+        back = [(runs[i][1] - runs[i][0], runs[i + 1][0] - runs[i][1] if i < last else 0) for i in range(last, -1, -1)]
+        first = last - furthest(back)
+        if runs[last][1] - runs[first][0] >= least:
+            out.append((runs[first][0], runs[last][1]))
+        k = last + 1
+    return out
+
+
+def n_stretches(genome: DataFrame, *, least: int = 1000, penalty: int = 10, size: int = TILE) -> DataFrame:
+    """``contig``, ``start`` and ``end`` of stretches of ``least`` bases or more that are mostly N (see ``scored_cuts``).
+
+    Runs of N are found in tiles. A gap that outweighs all N of its contig parts it, so that only runs which some stretch
+    could join meet in one task, as two numbers each.
+    """
+    runs = n_runs(genome, least=1, size=size)
+    weighed = I.running(runs, ["contig"], "start", ["start"], F.col("end") - F.col("start"), "_n")
+    weighed = I.beside(weighed, "contig", "start", F.struct("start", "end"), "_p", before=True)
+    totals = runs.groupBy("contig").agg(F.sum(F.col("end") - F.col("start")).alias("_all"))
+    own = F.col("end") - F.col("start")
+    # neither what lies before the gap nor what lies behind it can pay for it
+    parted = penalty * (F.col("start") - F.col("_p.end")) > F.greatest(F.col("_n") - own, F.col("_all") - F.col("_n") + own)
+    grouped = weighed.join(totals, "contig").withColumn("_new", F.when(parted, 1).otherwise(0))
+    grouped = I.running(grouped.select("contig", "start", "end", "_new"), ["contig"], "start", ["start"], F.col("_new"), "_g")
+
+    def cut(p: pd.DataFrame) -> pd.DataFrame:
+        found = scored_cuts(list(p.sort_values("start")[["start", "end"]].itertuples(index=False, name=None)), least=least, penalty=penalty)
+        return pd.DataFrame({"contig": p["contig"].iloc[0], "start": [a for a, _ in found], "end": [b for _, b in found]})
+
+    return grouped.groupBy("contig", "_g").applyInPandas(cut, "contig string, start long, end long")

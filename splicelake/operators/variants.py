@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import exp, lgamma, log, sqrt
+from collections.abc import Callable, Iterator
+from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rounds of expectation and maximisation at most, and the change of a frequency below which they end.
+ROUNDS, CHANGE = 50, 1e-5
+
 
 def anno16(pile: DataFrame) -> DataFrame:
     """Sixteen sums for each site and sample: reads by strand and allele, then sums and sums of squares of base quality,
@@ -85,6 +89,82 @@ def em_frequency(likelihoods: DataFrame, *, rounds: int = 30) -> DataFrame:
     return flat.mapInPandas(run, "site long, n_samples long, af double, f_hom_ref double, f_het double, f_hom_alt double, hwe double")
 
 
+def _raised(p: np.ndarray, weight: np.ndarray, begin: np.ndarray, site: np.ndarray, g: np.ndarray, step: Callable[[np.ndarray], np.ndarray], rounds: int) -> np.ndarray:
+    """Genotype frequencies ``g`` of each site, raised by expectation over its weighed samples and ``step``, which makes
+    frequencies of what is expected, until none moves by CHANGE or more."""
+    n = np.maximum(np.add.reduceat(weight, begin), 1e-300)[:, None]
+    active = np.ones(len(g), bool)
+    for _ in range(rounds):
+        share = p * g[site]
+        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
+        new = step(np.add.reduceat(share * weight[:, None], begin) / n)
+        moved = np.abs(new - g).max(axis=1)
+        g = np.where(active[:, None], new, g)
+        active &= moved >= CHANGE
+        if not active.any():
+            break
+    return g
+
+
+def _hardy_weinberg(g: np.ndarray) -> np.ndarray:
+    f = g[:, 1] / 2 + g[:, 2]
+    return np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], axis=1)
+
+
+def contrasts(p: np.ndarray, group: np.ndarray, begin: np.ndarray) -> dict[str, np.ndarray]:
+    """Frequencies of sites and of their two groups of samples, and the tests between them; see ``group_contrast``."""
+    site = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
+    told = ~(p == 1).all(axis=1)
+    which = np.where(p[:, 0] > p[:, 1], np.where(p[:, 0] > p[:, 2], 0, 2), np.where(p[:, 1] > p[:, 2], 1, 2))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        f = np.add.reduceat(which * told, begin) / np.add.reduceat(told, begin) / 2
+    start = np.stack([(1 - f) ** 2, 2 * f * (1 - f), f * f], axis=1)
+    weights = [np.ones(len(p)), (group == 1).astype(float), (group == 2).astype(float)]
+    equal = [_raised(p, w, begin, site, start, _hardy_weinberg, 500) for w in weights[:1]]
+    equal += [_raised(p, w, begin, site, equal[0], _hardy_weinberg, 500) for w in weights[1:]]
+    free = [_raised(p, weights[0], begin, site, equal[0], lambda g: g, ROUNDS)]
+    free += [_raised(p, w, begin, site, free[0], lambda g: g, ROUNDS) for w in weights[1:]]
+
+    def gained(better: list[np.ndarray], base: np.ndarray, weight: list[np.ndarray]) -> np.ndarray:
+        """Log of how much likelier the samples are."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            logs = sum(w * (np.log((p * g[site]).sum(axis=1)) - np.log((p * base[site]).sum(axis=1))) for g, w in zip(better, weight, strict=True))
+        return np.maximum(np.add.reduceat(logs, begin), 0)
+
+    root = lambda x: np.array([erfc(sqrt(v)) if v == v else np.nan for v in x])  # noqa: E731  upper gamma function of a half
+    both = np.minimum(*(np.add.reduceat(w, begin) for w in weights[1:])) > 0
+    of_two = lambda x: np.where(both, x, np.nan)
+    frequency = lambda g: g[:, 1] / 2 + g[:, 2]
+    return {
+        "af": frequency(equal[0]), "g_ref": free[0][:, 0], "g_het": free[0][:, 1], "g_alt": free[0][:, 2], "p_hwe": root(gained(free[:1], equal[0], weights[:1])),
+        "af1": of_two(frequency(equal[1])), "af2": of_two(frequency(equal[2])), "p_one": of_two(root(gained(equal[1:], equal[0], weights[1:]))), "p_two": of_two(np.exp(-gained(free[1:], free[0], weights[1:]))),
+    }
+
+
+def group_contrast(likelihoods: DataFrame, groups: DataFrame) -> DataFrame:
+    """Whether two groups of samples differ at a site: ``site``, ``af`` and the genotype frequencies ``g_ref``, ``g_het``, ``g_alt`` of
+    all samples, ``p_hwe`` (that genotypes are in equilibrium), ``af1`` and ``af2`` of the groups, and the p-values ``p_one`` and
+    ``p_two`` of likelihood ratio tests that their allele frequencies, or their genotype frequencies, are one.
+
+    ``likelihoods`` have ``site``, ``sample``, ``pl0`` to ``pl2``; ``groups`` have ``sample`` and ``group`` (1 or 2; other samples count for
+    ``af`` only). Null where no sample tells anything or a group has none. Many sites are worked on at once; a site's samples
+    come together.
+    """
+    chance = F.array(*[F.pow(F.lit(10.0), -F.col(f"pl{i}") / 10.0) for i in range(3)]).alias("p")
+    rows = likelihoods.join(F.broadcast(groups.select("sample", F.col("group").cast("int").alias("group"))), "sample", "left").select("site", "sample", F.coalesce("group", F.lit(0)).alias("group"), chance)
+    each = rows.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("sample", "group", "p"))).alias("x")).select("site", F.col("x.group").alias("group"), F.col("x.p").alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                n = np.array([len(x) for x in batch.column(1)], np.int64)
+                found = contrasts(batch.column(2).flatten().flatten().to_numpy().reshape(-1, 3), batch.column(1).flatten().to_numpy(), np.cumsum(n) - n)
+                yield pa.record_batch([batch.column(0), *(pa.array(x, pa.float64(), mask=~np.isfinite(x)) for x in found.values())], ["site", *found])
+
+    names = ["af", "g_ref", "g_het", "g_alt", "p_hwe", "af1", "af2", "p_one", "p_two"]
+    return each.mapInArrow(run, f"site {likelihoods.schema['site'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
 def site_call(likelihoods: DataFrame, *, theta: float = 1e-3) -> DataFrame:
     """Posterior of each count of the other allele at a site, from a recurrence over its samples and the prior
     theta / (copies left): ``p_ref``, ``qual`` (phred), ``ac`` (most probable count) and ``posterior``."""
