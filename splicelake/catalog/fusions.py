@@ -222,6 +222,18 @@ def _(t: Tables) -> DataFrame:
 SIDES = f"SELECT fusion_id, side, count(*) AS n, sum(depth) / count(*) AS average, min(slot) AS lead_gap FROM ({SLOTS}) GROUP BY fusion_id, side"
 
 
+@register("fp_tx_dist")
+def _(t: Tables) -> DataFrame:
+    """Mates about each fusion, at growing distances, against the introns of the alignments."""
+    from splicelake.operators import junctions as J
+
+    off = 30 + F.col("fusion_id") % 150 + 97 * F.col("pair_id")
+    rows = t.v_fusions.where("n_pairs > 0").select("fusion_id", "contig1", "contig2", (F.col("lft") % 15_000 + 2000).alias("pos1"), (F.col("rgt") % 15_000 + 2000).alias("pos2"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_pairs"))).alias("pair_id"))
+    pairs = rows.withColumns({"mate1": F.col("pos1") - off, "mate2": F.col("pos2") + off})
+    introns = J.extract(t.v_hits).select("contig", "left", "right", F.when(F.col("antisense"), "-").otherwise("+").alias("strand"))
+    return U.transcript_distances(pairs, introns)
+
+
 @register("fp_cov_filter", f"SELECT l.fusion_id FROM ({SIDES}) l JOIN ({SIDES}) r ON l.fusion_id = r.fusion_id AND l.side = 'l' AND r.side = 'r' WHERE l.lead_gap < 200 AND r.lead_gap < 200 AND abs(l.n - r.n) <= 20")
 def _(t: Tables) -> DataFrame:
     per = slots(t).groupBy("fusion_id").pivot("side", ["l", "r"]).agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lead"))

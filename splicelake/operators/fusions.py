@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -179,6 +181,40 @@ def assembled(fusions: DataFrame) -> DataFrame:
     return fusions.join(sizes, key, "left").select("fusion_id", F.coalesce("_n", F.lit(0)).alias("n_assembled"))
 
 
+def _saved(introns: list[tuple[int, int]]) -> int:
+    """Most bases that introns, one behind another, take out of the way."""
+    ordered = sorted({(b, a) for a, b in introns})
+    ends, best = [b for b, _ in ordered], [0]
+    for k, (b, a) in enumerate(ordered):
+        best.append(max(best[k], b - a - 1 + best[bisect_right(ends, a, 0, k)]))
+    return best[-1]
+
+
+def transcript_distances(pairs: DataFrame, introns: DataFrame, *, most: int = 250) -> DataFrame:
+    """``fusion_id``, ``pair_id``, ``distance1``, ``distance2``: how far mates are from the two sides of their fusion when introns
+    are left out, for pairs that are ``most`` bases or less from it together.
+
+    ``pairs`` have ``contig1``, ``pos1``, ``mate1`` and ``contig2``, ``pos2``, ``mate2``: a side's breakpoint and the base of the mate that
+    is nearest to it; ``introns`` have ``contig``, ``left``, ``right`` (last and first exon base) and ``strand``. A way from the breakpoint
+    to the mate steps from base to base or from one end of an intron that lies between them to the other. Introns of one
+    strand only are used on a way; the shorter of both counts. Introns meet the stretches that hold them in bins.
+    """
+    side = lambda k: F.struct(F.lit(k).alias("side"), F.col(f"contig{k}").alias("contig"), F.least(f"pos{k}", f"mate{k}").alias("low"), F.greatest(f"pos{k}", f"mate{k}").alias("high"))
+    sides = pairs.select("fusion_id", "pair_id", F.inline(F.array(side(1), side(2)))).withColumn("_end", F.col("high") + 1)
+    known = introns.select(F.col("contig").alias("_c"), "left", "right", "strand").distinct().withColumn("_to", F.col("right") + 1)
+    met = I.interval_join(I.Side(sides, "contig", "low", "_end"), I.Side(known, "_c", "left", "_to"), test=F.expr("low <= left and right <= high"))
+    held = met.groupBy("fusion_id", "pair_id", "side", "strand").agg(F.collect_set(F.array("left", "right")).alias("introns"))
+
+    @pandas_udf("long")
+    def saved(introns: pd.Series) -> pd.Series:
+        return introns.map(lambda x: _saved([(int(a), int(b)) for a, b in x]))
+
+    gained = held.select("fusion_id", "pair_id", "side", saved("introns").alias("saved")).groupBy("fusion_id", "pair_id", "side").agg(F.max("saved").alias("saved"))
+    near = sides.join(gained, ["fusion_id", "pair_id", "side"], "left").withColumn("distance", F.col("high") - F.col("low") - F.coalesce("saved", F.lit(0)))
+    both = near.groupBy("fusion_id", "pair_id").agg(*(F.max(F.when(F.col("side") == k, F.col("distance"))).alias(f"distance{k}") for k in (1, 2)))
+    return both.where(F.col("distance1") + F.col("distance2") <= most)
+
+
 def slots(reads: DataFrame, n: int = 300) -> DataFrame:
     """Coverage of ``n`` bases on each side of a breakpoint, from reads' distances: ``fusion_id``, ``side``, ``slot``, ``depth``."""
     cut = reads.where("near < far and near < " + str(n)).withColumn("slot", F.explode(F.sequence("near", F.least(F.col("far"), F.lit(n)) - 1)))
