@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splicelake.catalog import register
 from splicelake.catalog.sequences import kmers
-from splicelake.functions.sequence import hamming
+from splicelake.functions.sequence import hamming, revcomp
 from splicelake.operators import discovery as D
 from splicelake.operators import junctions as J
 from splicelake.operators import samtables as S
@@ -143,6 +143,37 @@ def _(t: Tables) -> DataFrame:
     return found.select("read_id", "contig", "reverse", F.col("left").alias("l"))
 
 
+RC_Q = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+#: In each 500 bases the first GT with an AG 60 to 499 bases on is an intron; reads begin 15 or, on the other strand, end 10 bases before it.
+LOST = f"""{SITES}, pd AS (SELECT contig, min(place) AS donor FROM dn GROUP BY contig, place // 500), pl AS (SELECT pd.contig, donor, min(ac.place) + 2 AS acceptor FROM pd JOIN ac ON ac.contig = pd.contig AND ac.place + 2 - donor >= 60 AND ac.place + 2 - donor < 500 GROUP BY ALL),
+rd AS (SELECT contig, seq, length(seq) AS len, CASE WHEN donor % 2 = 1 THEN substr(seq, CAST(donor - 9 AS INTEGER), 10) || substr(seq, CAST(acceptor + 1 AS INTEGER), 15) ELSE substr(seq, CAST(donor - 14 AS INTEGER), 15) || substr(seq, CAST(acceptor + 1 AS INTEGER), 10) END AS q,
+  donor % 2 = 1 AS reverse, CASE WHEN donor % 2 = 1 THEN donor - 35 ELSE acceptor + 10 END AS l FROM pl JOIN gn USING (contig) WHERE donor >= 25 AND acceptor + 25 <= length(seq)),
+wn AS (SELECT *, CASE WHEN reverse THEN l + 17 ELSE greatest(0, least(len - 2, l + 8) - 2000) END AS f, CASE WHEN reverse THEN least(len - 2, l + 2017) ELSE least(len - 2, l + 8) END AS t FROM rd),
+wm AS (SELECT contig, q, f, t, sum(CASE WHEN f >= m OR m IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY f, t, q ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, max(t) OVER (PARTITION BY contig ORDER BY f, t, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM wn WHERE t - f >= 12)),
+pool AS (SELECT contig, isl, min(f) AS f, max(t) AS t FROM wm GROUP BY contig, isl), os AS (SELECT contig, isl, replace(q, 'N', 'x') AS s FROM wm UNION SELECT contig, isl, {RC_Q.format("replace(q, 'N', 'x')")} FROM wm),
+sd AS (SELECT DISTINCT contig, isl, substr(s, i + 1, 5) AS l5, substr(s, i + 6, 5) AS r5, substr(s, greatest(i - 14, 0) + 1, least(i, 14)) AS lx, substr(s, i + 11, 14) AS rx FROM (SELECT *, CAST(unnest(range(0, 16)) AS INTEGER) AS i FROM os)),
+st AS (SELECT p.contig, isl, place, substr(seq, CAST(place + 1 AS INTEGER), 2) AS motif, substr(seq, CAST(greatest(place - 19, 0) + 1 AS INTEGER), CAST(least(place, 19) AS INTEGER)) AS up, substr(seq, CAST(place + 3 AS INTEGER), 19) AS down
+  FROM (SELECT *, unnest(range(f, t - 1)) AS place FROM pool) p JOIN gn USING (contig)),
+dd AS (SELECT *, right(up, 5) AS l5, left(up, greatest(length(up) - 5, 0)) AS ux FROM st WHERE motif IN ('GT', 'CT') AND length(up) >= 5), aa AS (SELECT *, left(down, 5) AS r5, substr(down, 6) AS dx FROM st WHERE motif IN ('AG', 'AC') AND length(down) >= 5)"""
+
+
+@register(
+    "disc_microexon",
+    f"""WITH {LOST} SELECT DISTINCT dd.contig, dd.place - 1 AS l, aa.place + 2 AS r, dd.motif = 'CT' AS antisense FROM dd JOIN sd ON sd.contig = dd.contig AND sd.isl = dd.isl AND sd.l5 = dd.l5
+    JOIN aa ON aa.contig = dd.contig AND aa.isl = dd.isl AND aa.r5 = sd.r5 AND (dd.motif = 'GT') = (aa.motif = 'AG') AND aa.place - dd.place >= 50 AND aa.place - dd.place < 2000
+    WHERE (length(lx) >= 7 AND suffix(ux, lx)) OR (length(rx) >= 7 AND prefix(dx, rx))""",
+)
+def _(t: Tables) -> DataFrame:
+    """Reads planted over an intron of each 500 bases, whose first segment, which holds the junction, is not mapped."""
+    g = t.v_genome
+    donors = D.sites(g, "GT").groupBy("contig", F.floor(F.col("at") / 500)).agg(F.min("at").alias("at")).select("contig", "at")
+    introns = D.site_pairs(donors, D.sites(g, "AG"), least=60, most=500).groupBy("contig", "donor").agg(F.min("acceptor").alias("acceptor"))
+    back = F.col("donor") % 2 == 1
+    planted = D.with_flanks(introns, g, 25).select(F.concat_ws(":", "contig", "donor").alias("read_id"), "contig", back.alias("reverse"), F.when(back, F.col("donor") - 35).otherwise(F.col("acceptor") + 10).alias("left"), F.when(back, revcomp(F.substring("flank", 16, 25))).otherwise(F.substring("flank", 11, 25)).alias("seq"))
+    segs = planted.select("read_id", F.lit(2).alias("seg"), "contig", "reverse", "left", (F.col("left") + 25).alias("right"))
+    return D.microexons(segs, planted.select("read_id", "seq"), g, total=2).select("contig", F.col("left").alias("l"), F.col("right").alias("r"), "antisense")
+
+
 MATES = "SELECT a.insert_id, a.contig AS c1, b.contig AS c2, a.lft + a.m1 AS e1, b.lft AS s2, a.antisense_aln AS r1, b.antisense_aln AS r2 FROM v_hits a JOIN v_hits b ON a.insert_id = b.insert_id AND a.mate = 1 AND b.mate = 2"
 
 

@@ -135,6 +135,60 @@ def rescued(segments: DataFrame, partners: DataFrame, reads: DataFrame, tiled: D
     return found.select("read_id", F.lit(total).alias("seg"), "contig", "reverse", left.alias("left"), (left + n).alias("right"), F.lit(0).alias("edit_dist")).distinct()
 
 
+def microexons(segments: DataFrame, reads: DataFrame, genome: DataFrame, *, total: int, seg_length: int = 25, anchor: int = 8, stretch: int = 2000, least: int = 50, half: int = 5, extend: int = 7, most_extend: int = 14) -> DataFrame:
+    """Junctions over which lost first segments fit: ``contig``, ``left``, ``right`` (last and first exon base), ``antisense``.
+
+    A read (``read_id``, ``seq``) is searched if its first segment has no hit and each other one of ``total`` has some. Beside each
+    hit of its second segment, on the side where the first one belongs, lies a window of ``stretch`` bases that takes in ``anchor``
+    bases of the hit and ends two bases before the contig does; windows of under twelve bases are left out. Windows that overlap
+    become one, whose lost segments are pooled. GT and AG (``antisense``: CT and AC) of one window, at least ``least`` and under
+    ``stretch`` bases apart, are a junction where a pooled segment, on either strand, has the ``half`` bases on both sides of it and
+    agrees with the genome on one side for ``extend`` bases more, as far as it goes but for ``most_extend`` at most. Unknown bases
+    agree with none.
+
+    A window is never brought together: distinct seeds of its segments meet donors by the bases before them, what is left of the
+    seeds meets acceptors in bins of ``stretch`` by the bases after them. Reads without ``seq`` and hits on contigs that are not
+    in the genome give nothing.
+    """
+    from splicelake.operators import intervals as I
+
+    reach = half + most_extend
+    hit = segments.groupBy("read_id").agg(F.count_distinct("seg").alias("_n"), F.min("seg").alias("_first")).where((F.col("_first") == 2) & (F.col("_n") == total - 1))
+    lost = reads.select("read_id", F.translate(F.substring("seq", 1, seg_length), "N", "x").alias("_own")).where("_own is not null").join(hit.select("read_id"), "read_id")
+    ends = F.col("_len") - 2
+    begin = F.when(F.col("reverse"), F.greatest(F.col("right") - anchor, F.lit(0))).otherwise(F.greatest(F.least(ends, F.col("left") + anchor) - stretch, F.lit(0)))
+    end = F.when(F.col("reverse"), F.least(ends, F.greatest(F.col("right") - anchor, F.lit(0)) + stretch)).otherwise(F.least(ends, F.col("left") + anchor))
+    beside = segments.where("seg = 2").join(genome.select("contig", F.length("seq").alias("_len")), "contig")
+    each = beside.select("read_id", "contig", begin.cast("long").alias("from"), end.cast("long").alias("to")).where(F.col("to") - F.col("from") >= 12).join(lost, "read_id")
+    windows = each.select("contig", "from", "to", "_own").distinct()
+    pooled = I.merged(windows.select("contig", "from", "to").distinct(), "contig", "from", "to", touching=False).select("contig", F.col("from").alias("_ws"), F.col("to").alias("_we"))
+    own = I.point_join(windows, "contig", "from", I.Side(pooled, "contig", "_ws", "_we"), bin_size=stretch).select("contig", "_ws", "_own").distinct()
+
+    strands = own.select("contig", "_ws", F.explode(F.array("_own", F.reverse(F.translate("_own", "ACGT", "TGCA")))).alias("_s")).where(F.length("_s") >= 2 * half + extend).distinct()
+    places = strands.withColumn("_i", F.explode(F.sequence(F.lit(0), F.length("_s") - 2 * half)))
+    cut = lambda start, n: F.substr("_s", F.col("_i") + start, n)
+    before = F.least(F.col("_i"), F.lit(most_extend))
+    seeds = places.select("contig", "_ws", cut(1, F.lit(half)).alias("_l"), cut(half + 1, F.lit(half)).alias("_r"), F.substr("_s", F.col("_i") - before + 1, before).alias("_lx"), cut(2 * half + 1, F.lit(most_extend)).alias("_rx"))
+    seeds = seeds.where((F.length("_lx") >= extend) | (F.length("_rx") >= extend)).distinct()
+
+    edge = "." * reach
+    around = Q.words(genome.select("contig", F.concat(F.lit(edge), "seq", F.lit(edge)).alias("seq")), 2 * reach + 2)
+    site = around.withColumn("_m", F.substring("bases", reach + 1, 2)).where(F.col("_m").isin("GT", "AG", "CT", "AC"))
+    inside = I.point_join(site, "contig", "at", I.Side(pooled.withColumn("_we", F.col("_we") - 1), "contig", "_ws", "_we"), bin_size=stretch)
+    key = ["contig", "_ws", "antisense"]
+    donors = inside.where(F.col("_m").isin("GT", "CT")).select("contig", "_ws", (F.col("_m") == "CT").alias("antisense"), F.col("at").alias("_d"), F.substring("bases", most_extend + 1, half).alias("_l"), F.substring("bases", 1, most_extend).alias("_up"))
+    acceptors = inside.where(F.col("_m").isin("AG", "AC")).select("contig", "_ws", (F.col("_m") == "AC").alias("antisense"), F.col("at").alias("_a"), F.substring("bases", reach + 3, half).alias("_r"), F.substring("bases", reach + 3 + half, most_extend).alias("_down"))
+
+    fits = (F.length("_lx") >= extend) & F.endswith("_up", F.col("_lx"))
+    first = donors.join(seeds, ["contig", "_ws", "_l"]).withColumn("_rest", F.when(fits, F.lit("")).otherwise(F.col("_rx")))
+    first = first.where(fits | (F.length("_rest") >= extend)).select(*key, "_d", "_r", "_rest").distinct()
+    bins = F.sequence(F.floor((F.col("_d") + least) / stretch), F.floor((F.col("_d") + stretch - 1) / stretch))
+    met = first.withColumn("_b", F.explode(bins)).join(acceptors.withColumn("_b", F.floor(F.col("_a") / stretch)), [*key, "_r", "_b"])
+    apart = F.col("_a") - F.col("_d")
+    found = met.where((apart >= least) & (apart < stretch) & F.startswith("_down", F.col("_rest")))
+    return found.select("contig", (F.col("_d") - 1).alias("left"), (F.col("_a") + 2).alias("right"), "antisense").distinct()
+
+
 def fusion_candidates(segments: DataFrame, *, least: int) -> DataFrame:
     """Neighbouring segments on different contigs or strands, or ``least`` bases or more apart: breakpoints, direction by
     strands, number of reads and least edit distance. The smaller contig and place come first."""
