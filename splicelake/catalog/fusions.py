@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.catalog import register
+from splicelake.functions.sequence import hamming
 from splicelake.operators import fusions as U
 from splicelake.operators import hits as H
 from splicelake.operators import junctions as J
@@ -103,11 +104,31 @@ def _(t: Tables) -> DataFrame:
     return U.nearest_pairs(support(t), 200).select("fusion_id", "pair_id", "k")
 
 
-@register("snk_fusions", f"SELECT contig1 || '-' || contig2 || chr(9) || lft || chr(9) || rgt || chr(9) || dir || chr(9) || n || chr(9) || array_to_string(lb, ' ') AS line FROM ({EVIDENCE}) WHERE n > 0")
+DIFFS = " || ".join(f"hamming(substr(left_seq, {(4 - k) * 9 // 2 + 1}, {(k + 1) * 9}), substr(right_seq, {(4 - k) * 9 // 2 + 1}, {(k + 1) * 9})) || ' '" for k in range(5))
+SPACED = "array_to_string(list_transform({0}, lambda x: x || ' '), '')"
+
+
+@register(
+    "snk_fusions",
+    f"""WITH c AS (SELECT fusion_id, contig1, contig2, lft % 20 AS lft, rgt % 3 AS rgt, dir FROM ({CANON})), ev AS ({EVIDENCE}),
+    st AS (SELECT contig1, contig2, lft, rgt, dir, CAST(sum(n_pairs) AS BIGINT) AS n_pairs, CAST(sum(n_span) AS BIGINT) AS n_span, min(left_seq) AS left_seq, min(right_seq) AS right_seq FROM c JOIN (SELECT fusion_id, n_pairs, n_span, left_seq, right_seq FROM v_fusions) v USING (fusion_id) GROUP BY ALL),
+    pr AS (SELECT c.contig1, c.contig2, c.lft, c.rgt, c.dir, ldist, rdist, row_number() OVER (PARTITION BY c.contig1, c.contig2, c.lft, c.rgt, c.dir ORDER BY ldist + rdist, ldist, rdist) AS k FROM c JOIN (@SUPPORT@) p USING (fusion_id)),
+    pt AS (SELECT contig1, contig2, lft, rgt, dir, string_agg(ldist || ':' || rdist || ' ', '' ORDER BY k) AS pairs FROM pr WHERE k <= 200 GROUP BY ALL)
+    SELECT contig1 || '-' || contig2 || chr(9) || lft || chr(9) || rgt || chr(9) || dir || chr(9) || n || chr(9) || n_pairs || chr(9) || n_span || chr(9) || 0 || chr(9) || left_ext || chr(9) || right_ext || chr(9)
+      || printf('%.6f', list_sum(list_transform(range(1, 51), lambda i: pow((lb[i] - rb[i]) / n, 2)))) || chr(9) || '@' || chr(9) || {DIFFS}
+      || chr(9) || '@' || chr(9) || left(left_seq, 23) || ' ' || substr(left_seq, 24) || chr(9) || '@' || chr(9) || left(right_seq, 23) || ' ' || substr(right_seq, 24) || chr(9) || '@' || chr(9) || {SPACED.format("lb")} || chr(9) || '@' || chr(9) || {SPACED.format("rb")}
+      || chr(9) || '@' || chr(9) || coalesce(pairs, '') AS line FROM ev JOIN st USING (contig1, contig2, lft, rgt, dir) LEFT JOIN pt USING (contig1, contig2, lft, rgt, dir) WHERE n > 0""".replace("@SUPPORT@", SUPPORT),
+)
 def _(t: Tables) -> DataFrame:
-    found = U.evidence(few(t)).where("n > 0")
-    text = lambda c: F.col(c).cast("string")
-    return found.select(F.concat_ws("\t", F.concat_ws("-", "contig1", "contig2"), text("lft"), text("rgt"), "dir", text("n"), F.array_join(F.transform("left_bases", lambda x: x.cast("string")), " ")).alias("line"))
+    """Few breakpoints, with the mates of all fusions at each; differences of sequences are counted place by place."""
+    rows = few(t)
+    stats = rows.groupBy(*U.KEY).agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_span").alias("n_span"), F.min("left_seq").alias("left_seq"), F.min("right_seq").alias("right_seq"))
+    w = Window.partitionBy(*U.KEY).orderBy(F.col("ldist") + F.col("rdist"), "ldist", "rdist")
+    nearest = rows.select("fusion_id", *U.KEY).join(support(t), "fusion_id").withColumn("k", F.row_number().over(w)).where("k <= 200")
+    pairs = nearest.groupBy(*U.KEY).agg(F.collect_list(F.struct("ldist", "rdist")).alias("pairs"))
+    found = U.evidence(rows).join(stats, [*U.KEY]).join(pairs, [*U.KEY], "left")
+    diffs = U.differences(F.col("left_seq"), F.col("right_seq"), differ=hamming)
+    return U.report_lines(found.withColumns({"n_against": F.lit(0), "reversed": F.lit(False), "diffs": diffs}))
 
 
 @register("fp_samples", "SELECT 's' || (fusion_id % 4) AS sample, count(*) AS n FROM v_fusions GROUP BY 1")
@@ -174,9 +195,25 @@ def _(t: Tables) -> DataFrame:
 ANNOT = f"SELECT fusion_id, (SELECT min(gene) FROM ({GENES}) g WHERE g.contig = contig1 AND s <= lft AND lft < e) AS gene1, (SELECT min(gene) FROM ({GENES}) g WHERE g.contig = contig2 AND s <= rgt AND rgt < e) AS gene2 FROM v_fusions"
 
 
-@register("fp_gene_annot", ANNOT)
+EXONS = "SELECT contig, gene || '_' || tx_id AS gene, strand, ex_start * 8 AS s, ex_end * 8 AS e, row_number() OVER (PARTITION BY contig, gene, tx_id ORDER BY ex_start, ex_end) AS i, lag(ex_end * 8) OVER (PARTITION BY contig, gene, tx_id ORDER BY ex_start, ex_end) AS p FROM v_exons"
+PLACED = ", ".join(f"max({c}) FILTER (side = {k}) AS {c}{k}" for k in (1, 2) for c in ("gene", "sense", "site")) + ", " + ", ".join(f"coalesce(bool_or(boundary) FILTER (side = {k}), false) AS boundary{k}" for k in (1, 2))
+
+
+@register(
+    "fp_gene_annot",
+    f"""WITH ex AS ({EXONS}), gn AS (SELECT contig, gene, strand, min(s) AS gs, max(e) AS ge FROM ex GROUP BY ALL),
+    pt AS (SELECT fusion_id, 1 AS side, contig1 AS contig, lft AS spot, dir[1] = 'f' AS far FROM v_fusions UNION ALL SELECT fusion_id, 2, contig2, rgt, dir[2] = 'r' FROM v_fusions),
+    pg AS (SELECT pt.*, strand AS sense, min(gene) AS gene FROM pt JOIN gn ON gn.contig = pt.contig AND gs <= spot AND spot < ge GROUP BY ALL),
+    pe AS (SELECT pg.*, s, e, i, p FROM pg JOIN ex ON ex.contig = pg.contig AND ex.gene = pg.gene AND spot <= e - 1 + 3 QUALIFY row_number() OVER (PARTITION BY fusion_id, side, sense ORDER BY i) = 1),
+    pl AS (SELECT *, CASE WHEN spot < s - 3 THEN 'intron' || (i - 1) || '(' || p || '-' || (s - 1) || ')' ELSE 'exon' || i || '(' || s || '-' || (e - 1) || ')' END AS site, spot >= s - 3 AND abs(spot - CASE WHEN far THEN e - 1 ELSE s END) <= 3 AS boundary FROM pe
+      QUALIFY row_number() OVER (PARTITION BY fusion_id, side ORDER BY sense) = 1)
+    SELECT fusion_id, {PLACED} FROM v_fusions LEFT JOIN pl USING (fusion_id) GROUP BY fusion_id""",
+)
 def _(t: Tables) -> DataFrame:
-    return U.annotated(t.v_fusions, genes(t)).select("fusion_id", "gene1", "gene2")
+    """Transcripts of strand + are the first annotation, those of strand - the second."""
+    exons = t.v_exons.select("contig", F.concat_ws("_", "gene", "tx_id").alias("gene"), "strand", (F.col("ex_start") * 8).alias("start"), (F.col("ex_end") * 8).alias("end"))
+    found = U.described(t.v_fusions, [exons.where(F.col("strand") == s) for s in "+-"])
+    return found.withColumnsRenamed({"place1": "site1", "place2": "site2"})
 
 
 @register("fp_filter_annot", f"SELECT fusion_id FROM ({ANNOT}) WHERE gene1 <> gene2")

@@ -90,6 +90,74 @@ def nearest_pairs(pairs: DataFrame, most: int = 200) -> DataFrame:
     return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
 
 
+def differences(left: Column, right: Column, *, windows: int = 5, differ=seq_difference) -> Column:
+    """How far the two sequences beside a breakpoint are apart in ``windows`` windows about their middles, each a share of the
+    length wider than the one before, as ``differ`` measures it."""
+    step = F.floor(F.length(left) / windows)
+    cut = lambda c, k: F.substr(c, (F.floor((windows - k - 1) * step / 2) + 1).cast("int"), ((k + 1) * step).cast("int"))
+    return F.array(*[differ(cut(left, k), cut(right, k)) for k in range(windows)])
+
+
+def report_lines(fusions: DataFrame) -> DataFrame:
+    """Fusions as ``line``, in the order of their contigs, places and directions: eleven figures behind the contigs, then six
+    lists, each behind an ``@``.
+
+    Columns: those of evidence, ``n_pairs``, ``n_span``, ``n_against``, ``diffs``, ``left_seq``, ``right_seq``, ``pairs`` (array of struct ``ldist``,
+    ``rdist``) and ``reversed``. Reversed fusions and those without reads are left out; a null list or sequence is an empty one. Of
+    the pairs the 200 nearest are shown.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    spaced = lambda x: F.coalesce(F.array_join(F.transform(x, lambda v: F.concat(v.cast("string"), F.lit(" "))), ""), F.lit(""))
+    half = lambda c: F.floor(F.length(text(c)) / 2).cast("int")
+    halves = lambda c: F.concat(F.substr(text(c), F.lit(1), half(c)), F.lit(" "), F.substr(text(c), half(c) + 1))
+    ordered = F.array_sort(F.transform("pairs", lambda p: F.struct((F.abs(p["ldist"]) + F.abs(p["rdist"])).alias("d"), p["ldist"].alias("l"), p["rdist"].alias("r"))))
+    nearest = F.transform(F.slice(ordered, 1, 200), lambda p: F.concat_ws(":", p["l"].cast("string"), p["r"].cast("string")))
+    figures = [F.concat_ws("-", "contig1", "contig2"), *map(text, ("lft", "rgt", "dir", "n", "n_pairs", "n_span", "n_against", "left_ext", "right_ext")), F.format_number(symmetry(F.col("n"), F.col("left_bases"), F.col("right_bases")), 6)]
+    lists = [spaced(F.col("diffs")), halves("left_seq"), halves("right_seq"), spaced(F.col("left_bases")), spaced(F.col("right_bases")), spaced(nearest)]
+    shown = fusions.where((F.col("n") > 0) & ~F.coalesce("reversed", F.lit(False)))
+    return shown.orderBy(*KEY).select(F.concat_ws("\t@\t", F.concat_ws("\t", *figures), *lists).alias("line"))
+
+
+def gene_places(points: DataFrame, exons: DataFrame, *, relax: int = 3) -> DataFrame:
+    """``points`` with ``gene`` (of several the least name), ``sense``, ``place`` and ``boundary``; points in no gene are left out.
+
+    ``points`` have ``contig``, ``at`` and ``outer``: whether the fused part ends to the right of the point; ``exons`` have ``contig``,
+    ``gene``, ``strand``, ``start``, ``end``. A gene reaches from its first exon to its last. The place is the first exon that ends at the
+    point, ``relax`` bases before it or later, or the intron before that exon if it begins more than ``relax`` bases behind the point; numbered by
+    place on the contig, whatever the strand, with first and last base. The boundary tells whether the point is within ``relax`` bases of
+    the end of the exon that faces the partner. Repeated rows are kept; points with nulls are in no gene.
+    """
+    ordered = Window.partitionBy("contig", "gene").orderBy("start", "end")
+    numbered = exons.select("contig", "gene", "strand", "start", "end").distinct().withColumns({"_i": F.row_number().over(ordered), "_p": F.lag("end").over(ordered)})
+    genes = exons.groupBy(F.col("contig").alias("_gc"), "gene").agg(F.min("start").alias("_gs"), F.max("end").alias("_ge"), F.min("strand").alias("sense"))
+    spots = points.select("contig", "at").distinct()
+    held = I.point_join(spots, "contig", "at", I.Side(genes, "_gc", "_gs", "_ge"), bin_size=10_000)
+    chosen = held.groupBy("contig", "at").agg(F.min(F.struct("gene", "sense")).alias("g")).select("contig", "at", "g.gene", "g.sense")
+    behind = chosen.join(numbered.drop("strand"), ["contig", "gene"]).where(F.col("at") < F.col("end") + relax)
+    first = behind.groupBy("contig", "at", "gene", "sense").agg(F.min(F.struct("_i", "start", "end", "_p")).alias("e")).select("contig", "at", "gene", "sense", "e.*")
+    between = F.col("at") < F.col("start") - relax
+    span = lambda name, i, a, b: F.concat(F.lit(name), i.cast("string"), F.lit("("), a.cast("string"), F.lit("-"), b.cast("string"), F.lit(")"))
+    place = F.when(between, span("intron", F.col("_i") - 1, F.col("_p"), F.col("start") - 1)).otherwise(span("exon", F.col("_i"), F.col("start"), F.col("end") - 1))
+    edge = F.when(F.col("outer"), F.col("end") - 1).otherwise(F.col("start"))
+    met = points.join(first, ["contig", "at"])
+    return met.select(*points.columns, "gene", "sense", place.alias("place"), (~between & (F.abs(F.col("at") - edge) <= relax)).alias("boundary"))
+
+
+def described(fusions: DataFrame, exons: list[DataFrame]) -> DataFrame:
+    """``fusion_id`` and for both sides ``gene``, ``sense``, ``place`` and ``boundary`` (with 1 or 2 behind) from the first annotation in
+    which a gene holds the breakpoint; null, and no boundary, where none does. Fusions have distinct ids."""
+    side = lambda k, at, outer: F.struct(F.lit(k).alias("side"), F.col(f"contig{k}").alias("contig"), F.col(at).alias("at"), (F.substring("dir", k, 1) == outer).alias("outer"))
+    points = fusions.select("fusion_id", F.inline(F.array(side(1, "lft", "f"), side(2, "rgt", "r"))))
+    found = None
+    for rank, each in enumerate(exons):
+        rows = gene_places(points, each).withColumn("_rank", F.lit(rank))
+        found = rows if found is None else found.unionByName(rows)
+    best = found.groupBy("fusion_id", "side").agg(F.min(F.struct("_rank", "gene", "sense", "place", "boundary")).alias("g"))
+    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(f"g.{c}"))).alias(f"{c}{k}")
+    both = best.groupBy("fusion_id").agg(*(of(k, c) for k in (1, 2) for c in ("gene", "sense", "place", "boundary")))
+    return fusions.select("fusion_id").join(both, "fusion_id", "left").fillna(False, ["boundary1", "boundary2"])
+
+
 def passes_counts() -> Column:
     """Thresholds on extents, reads, mate pairs and spanning reads."""
     return (F.least("left_ext", "right_ext") >= 16) & (F.col("n_pairs") <= 50 * F.col("n_reads")) & (F.col("n_reads") >= 3) & (F.col("n_pairs") >= 2) & (F.col("n_reads") + F.col("n_pairs") + F.col("n_span") / 2 >= 0)
