@@ -28,10 +28,18 @@ def _(t: Tables) -> DataFrame:
     return V.allele_order(t.v_pileup)
 
 
-@register("var_vdb", f"SELECT contig, pos, count(*) AS n, round(stddev_samp({ENDS}), 6) AS spread FROM v_pileup WHERE base <> ref AND NOT is_del GROUP BY contig, pos HAVING count(*) > 1")
+@register(
+    "var_vdb",
+    """WITH a AS (SELECT contig, pos, sample, qpos, read_len, row_number() OVER () AS k FROM v_pileup WHERE base <> ref AND NOT is_del),
+    m AS (SELECT a.contig, a.pos, a.sample, CAST(floor(sum(abs(a.qpos - b.qpos)) / count(*)) AS BIGINT) AS m FROM a JOIN a b ON a.contig = b.contig AND a.pos = b.pos AND a.sample = b.sample AND a.k < b.k GROUP BY ALL),
+    n AS (SELECT contig, pos, sample, count(*) AS n, sum(read_len) // count(*) AS z FROM a GROUP BY ALL),
+    p AS (SELECT contig, pos, sample, least(n, 5) AS n, m, z, z / 2.9 AS mu, pow(z / 1.9 / (least(n, 5) + 1), 2) AS v FROM m JOIN n USING (contig, pos, sample)),
+    q AS (SELECT *, CASE WHEN n = 2 THEN CASE WHEN m = 0 THEN 1 / z ELSE (z - m) * 2.0 / z / z END WHEN n = 3 THEN CASE WHEN m > 2 * mu THEN 0 ELSE sin(m * 3.14 / 2 / mu) / (4 * mu / 3.14) END
+      ELSE exp(-(m - mu) * (m - mu) / (CASE WHEN m < mu THEN 2 ELSE 3.125 END) / v) / (1.125 * sqrt(2 * 3.14 * v)) END AS prob FROM p),
+    w AS (SELECT contig, pos, sum(prob * n) / sum(n) AS vdb FROM q GROUP BY ALL) SELECT contig, pos, round(coalesce(vdb, 1), 6) AS vdb FROM (SELECT DISTINCT contig, pos FROM v_pileup) LEFT JOIN w USING (contig, pos)""",
+)
 def _(t: Tables) -> DataFrame:
-    end = F.least(F.least("qpos", F.col("read_len") - 1 - F.col("qpos")), F.lit(25))
-    return t.v_pileup.where("base != ref and not is_del").groupBy("contig", "pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.stddev_samp(end), 6).alias("spread")).where("n > 1")
+    return V.distance_bias(t.v_pileup).select("contig", "pos", F.round("vdb", 6).alias("vdb"))
 
 
 @register("var_site_filters", "SELECT site FROM v_variants v WHERE ref <> alt AND length(ref) = length(alt) AND depth >= 5 AND EXISTS (SELECT 1 FROM v_regions r WHERE substr(r.chrom, 2) = right(v.contig, 1) AND iv_begin <= pos AND pos < iv_end)")
@@ -85,9 +93,26 @@ def _(t: Tables) -> DataFrame:
     return t.v_genotypes.groupBy((pl[1] - pl[0]).alias("gap")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("var_qcall", "SELECT site, sample, CAST(unnest([0, 1, 2]) AS INTEGER) AS g, -unnest([pl0, pl1, pl2]) AS loglik FROM v_genotypes")
+TEN = " || ' ' || ".join(
+    f"coalesce([pl0, pl1, pl2, pl0 + 9, pl1 + 7, pl2 + 8][greatest(x{k}, x{j}) * (greatest(x{k}, x{j}) + 1) // 2 + least(x{k}, x{j}) + 1], 0)" for k in range(4) for j in range(k, 4)
+)
+
+
+@register(
+    "var_qcall",
+    f"""WITH RECURSIVE s AS (SELECT v.site, contig, pos, ref, alt, depth, mq, sample, pl0, pl1, pl2, row_number() OVER (PARTITION BY v.site ORDER BY sample) - 1 AS i, count(*) OVER (PARTITION BY v.site) AS n FROM v_variants v JOIN v_genotypes g ON g.site = v.site
+      WHERE length(ref) = 1 AND length(alt) = 1 AND depth > 0),
+    z AS (SELECT *, {', '.join(f"CASE WHEN ref = '{b}' THEN 0 WHEN alt = '{b}' THEN 1 ELSE 2 END AS x{k}" for k, b in enumerate("ACGT"))} FROM s),
+    r AS (SELECT site, i, greatest(1, CAST(floor(depth / n + 0.499) AS BIGINT)) AS d, depth - greatest(1, CAST(floor(depth / n + 0.499) AS BIGINT)) AS rest FROM s WHERE i = 0
+      UNION ALL SELECT s.site, s.i, greatest(1, CAST(floor(rest / (n - s.i) + 0.499) AS BIGINT)), rest - greatest(1, CAST(floor(rest / (n - s.i) + 0.499) AS BIGINT)) FROM r JOIN s ON s.site = r.site AND s.i = r.i + 1)
+    SELECT contig, pos, ref, sample, d AS depth, mq, {TEN} AS likelihoods FROM z JOIN r USING (site, i)""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.v_genotypes.select("site", "sample", F.posexplode(F.array(-F.col("pl0"), -F.col("pl1"), -F.col("pl2"))).alias("g", "loglik"))
+    """Sites of one other base, with X as their third allele."""
+    pls = F.array("pl0", "pl1", "pl2", F.col("pl0") + 9, F.col("pl1") + 7, F.col("pl2") + 8)
+    samples = t.v_genotypes.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("sample", pls.alias("pls")))).alias("samples"))
+    sites = t.v_variants.withColumn("alts", F.array("alt", F.lit("X"))).join(samples, "site")
+    return V.ten_genotypes(sites).withColumn("likelihoods", F.array_join(F.transform("likelihoods", lambda x: x.cast("string")), " "))
 
 
 @register("var_gl2pl", "SELECT site, sample, CAST(least(255, pl0 * 10) AS BIGINT) - least(pl0 * 10, pl1 * 10, pl2 * 10, 255) AS a, CAST(least(255, pl1 * 10) AS BIGINT) - least(pl0 * 10, pl1 * 10, pl2 * 10, 255) AS b FROM v_genotypes")

@@ -199,6 +199,65 @@ def site_call(likelihoods: DataFrame, *, theta: float = 1e-3) -> DataFrame:
     return flat.mapInPandas(run, "site long, p_ref double, qual double, ac long, posterior array<double>")
 
 
+def distance_bias(pile: DataFrame) -> DataFrame:
+    """``contig``, ``pos`` and ``vdb`` of each site: how likely the places in their reads of bases that differ from the reference are as
+    far apart as they are; 1 where no sample has two of them. Samples count by their such bases, five at most.
+
+    Of a sample, the mean distance of two places and the mean length of reads are whole numbers, rounded down. Deletions, null
+    places and null bases do not count. Places are counted first, so a site of any depth comes down to one row for each place in a
+    read, and the distances of all pairs are running sums over these.
+    """
+    own = pile.groupBy("contig", "pos").agg(F.lit(1).alias("_one")).drop("_one")
+    places = pile.where("base != ref and not is_del and qpos is not null").groupBy("contig", "pos", "sample", "qpos").agg(F.count(F.lit(1)).alias("_c"), F.sum("read_len").alias("_len"))
+    w = Window.partitionBy("contig", "pos", "sample").orderBy("qpos").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
+    apart = places.withColumn("_d", F.col("_c") * (F.col("qpos") * before(F.col("_c")) - before(F.col("_c") * F.col("qpos"))))
+    each = apart.groupBy("contig", "pos", "sample").agg(F.sum("_c").alias("n"), F.sum("_d").alias("_d"), F.sum("_len").alias("_len")).where("n >= 2")
+    n, m, size = F.col("n"), F.floor(F.col("_d") / (F.col("n") * (F.col("n") - 1) / 2)), F.floor(F.col("_len") / F.col("n"))
+    each = each.select("contig", "pos", F.least(n, F.lit(5)).alias("n"), m.alias("m"), size.alias("size")).withColumn("_mu", F.col("size") / 2.9)
+    # How the distance of two, three and more places is spread.
+    n, m, size, mu = (F.col(c) for c in ("n", "m", "size", "_mu"))
+    two = F.when(m == 0, 1 / size).otherwise((size - m) * 2.0 / size / size)
+    three = F.when(m > 2 * mu, 0.0).otherwise(F.sin(m * 3.14 / 2 / mu) / (4 * mu / 3.14))
+    var = F.pow(size / 1.9 / (n + 1), 2)
+    more = F.exp(-(m - mu) * (m - mu) / F.when(m < mu, 2.0).otherwise(3.125) / var) / (1.125 * F.sqrt(2 * 3.14 * var))
+    prob = F.when(n == 2, two).when(n == 3, three).otherwise(more)
+    site = each.where("size > 0").groupBy("contig", "pos").agg((F.sum(prob * n) / F.sum(n)).alias("vdb"))
+    return own.join(site, ["contig", "pos"], "left").fillna(1.0, ["vdb"])
+
+
+def ten_genotypes(sites: DataFrame) -> DataFrame:
+    """Rows of ten genotypes: ``contig``, ``pos``, ``ref``, ``sample``, ``depth``, ``mq`` and ``likelihoods`` of AA, AC, AG, AT, CC, CG, CT,
+    GG, GT and TT, of each sample of a site.
+
+    ``sites`` have ``ref``, ``alts`` (array), ``depth``, ``mq`` and ``samples``, an array of ``sample`` and ``pls`` (phred likelihoods in the order of
+    VCF). Sites whose alleles are not single letters, whose reference is not A, C, G or T, of more than four alleles, without
+    others, without samples or without depth are left out. A base that is no allele takes the likelihoods of the last allele that is
+    no base (X); without one they are null. Depth is dealt to the samples in turn, each the rounded share of what is left and
+    at least 1; samples whose likelihoods are all 0 have none.
+    """
+    base = F.col("ref").isin(*"ACGT") & F.size("alts").between(1, 3) & F.forall("alts", lambda a: F.length(a) == 1) & (F.col("depth") > 0)
+    other = F.array_max(F.transform("alts", lambda a, i: F.when(~a.isin(*"ACGT"), i + 1)))
+    allele = [F.when(F.col("ref") == b, 0).otherwise(F.coalesce(F.nullif(F.array_position("alts", b).cast("int"), F.lit(0)), other)) for b in "ACGT"]
+
+    def likelihood(pls: Column, k: int, j: int) -> Column:
+        a, b = F.col(f"_a{k}"), F.col(f"_a{j}")
+        high = F.greatest(a, b)
+        return F.when(a.isNotNull() & b.isNotNull(), F.get(pls, (high * (high + 1) / 2 + F.least(a, b)).cast("int")))
+
+    def deal(state: Column, x: Column) -> Column:
+        left = F.size("samples") - F.size(state["given"])
+        share = F.greatest(F.floor(state["rest"] / left + 0.499), F.lit(1)).cast("long")
+        given = F.when(F.forall(x["pls"], lambda v: v == 0), F.lit(0).cast("long")).otherwise(share)
+        return F.struct((state["rest"] - given).alias("rest"), F.concat(state["given"], F.array(given)).alias("given"))
+
+    start = F.struct(F.col("depth").cast("long").alias("rest"), F.array().cast("array<bigint>").alias("given"))
+    dealt = sites.where(base).withColumns({f"_a{i}": a for i, a in enumerate(allele)}).withColumn("_given", F.aggregate("samples", start, deal, lambda s: s["given"]))
+    row = lambda x, i: F.struct(x["sample"].alias("sample"), F.get("_given", i).alias("depth"), F.array(*[likelihood(x["pls"], k, j) for k in range(4) for j in range(k, 4)]).alias("likelihoods"))
+    each = dealt.select("contig", "pos", "ref", "mq", F.inline(F.transform("samples", row)))
+    return each.select("contig", "pos", "ref", "sample", "depth", "mq", "likelihoods")
+
+
 def filtered(sites: DataFrame, *, window: int = 10, min_depth: int = 3, max_depth: int = 45, min_mq: int = 10) -> DataFrame:
     """Adds ``filter``, the first test that a site fails: d shallow, D deep, Q mapping quality, W an SNP within ``window`` of
     an indel, G an indel within ``window`` of a better one (by quality, then place, then site)."""
