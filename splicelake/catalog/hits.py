@@ -269,7 +269,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     repeats = t.v_regions.select(F.concat(F.lit("c"), F.substring("chrom", 2, 9)).alias("contig"), "iv_begin", "iv_end")
     left = I.Side(hits(t), "contig", "lft", "rgt")
-    return I.interval_join(left, I.Side(repeats, "contig", "iv_begin", "iv_end"), how="anti", key=KEY, test=F.expr("iv_begin <= lft and rgt <= iv_end")).select(*KEY)
+    return I.matched(left, I.Side(repeats, "contig", "iv_begin", "iv_end"), inside=True, how="anti").select(*KEY)
 
 
 @register(

@@ -24,7 +24,7 @@ def rows(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     kept = S.view(rows(t), min_mapq=10, require=3, exclude=516, groups=["rg0", "rg2"])
     regions = t.v_regions.select(F.concat(F.lit("c"), F.substring("chrom", 2, 9)).alias("contig"), "iv_begin", "iv_end")
-    return I.interval_join(I.Side(kept, "rname", "pos", "rgt"), I.Side(regions, "contig", "iv_begin", "iv_end"), how="semi", key=KEY).select(*KEY)
+    return I.matched(I.Side(kept, "rname", "pos", "rgt"), I.Side(regions, "contig", "iv_begin", "iv_end")).select(*KEY)
 
 
 @register("sam_subsample")
