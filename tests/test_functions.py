@@ -1,7 +1,10 @@
 """Column functions and operators on small literal rows."""
 
 from math import atan, pi, sqrt
+from random import Random
+from time import perf_counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from splicelake.functions import cigar
@@ -98,6 +101,31 @@ def test_seq_difference(spark):
     assert [r.d for r in got] == [0, 1, 0, None]
 
 
+def plain_difference(a, b):
+    """Cell by cell: mismatches 1, gaps 2, any end of the last row or column free."""
+    table = [[2 * j for j in range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        row = [2 * i]
+        for j, y in enumerate(b):
+            row.append(min(table[-1][j] + (x != y), table[-1][j + 1] + 2, row[j] + 2))
+        table.append(row)
+    return min(min(r[-1] for r in table), min(table[-1]))
+
+
+def test_seq_difference_of_many_pairs(spark):
+    rng = Random(3)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs = [(text(rng.choice((0, 1, 7, 23))), text(rng.choice((0, 1, 8, 23)))) for _ in range(600)] + [("A", None), ("\u00c4C", "\u00c4CA")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", U.seq_difference("a", "b").alias("d")).collect()
+    assert all(r.d == (None if r.b is None else plain_difference(r.a.encode(), r.b.encode())) for r in got) and len(got) == 602
+
+    # whole batches cost about as much as a few single pairs did
+    rows = [(text(46), text(46)) for _ in range(20_000)]
+    start = perf_counter()
+    d = U.seq_difference.func(*map(pd.Series, zip(*rows, strict=True)))
+    assert perf_counter() - start < 3 and [d[k] for k in (0, 19_999)] == [plain_difference(*rows[k]) for k in (0, 19_999)]
+
+
 def test_site_call_and_em(spark):
     sure_ref = [(1, k, 0, 60, 90) for k in range(4)]
     sure_alt = [(2, k, 90, 60, 0) for k in range(4)]
