@@ -452,6 +452,18 @@ def test_lines_of_one_template(spark):
     assert sorted(gone) == [(1000 + i, i) for i in range(100)]
 
 
+def test_no_pair_of_a_crowded_block_is_left_out(spark):
+    """Pairs of lines that share one phrase and nothing else that another line has not too, among two hundred others that have it."""
+    rng = random.Random(15)
+    phrase, rows = "encyclopaedias notwithstanding", []
+    for i in range(100):
+        words = ["".join(rng.choices("abcdefghijklmnopqrst", k=7)) for _ in range(5)]
+        changed = [w[:3] + ("u" if w[3] != "u" else "v") + w[4:] for w in words]
+        rows += [(i, " ".join([phrase, *words])), (1000 + i, " ".join([phrase, *changed]))]
+    gone = [(r.doc_id, r.kept_doc_id) for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(gone) == [(1000 + i, i) for i in range(100)]
+
+
 def test_line_edges(edges, empty, spark):
     removed = linededup.removed_lines(edges)
     assert sorted((r.doc_id, r.line) for r in removed.collect()) == [(1, 0), (5, 0), (5, 0)]  # the null doc_id comes first
