@@ -78,9 +78,7 @@ def _(t: Tables) -> DataFrame:
 
 @register("iv_nested", "SELECT a.event_id, count(*) AS n_children FROM v_intervals a JOIN v_intervals v ON a.chrom = v.chrom AND a.event_id <> v.event_id AND v.iv_begin >= a.iv_begin AND v.iv_end <= a.iv_end GROUP BY a.event_id")
 def _(t: Tables) -> DataFrame:
-    child = t.v_intervals.select("chrom", F.col("event_id").alias("child"), F.col("iv_begin").alias("c_begin"), F.col("iv_end").alias("c_end"))
-    met = I.interval_join(left(t), I.Side(child, "chrom", "c_begin", "c_end"), test=F.expr("event_id != child and c_begin >= iv_begin and c_end <= iv_end"))
-    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_children"))
+    return I.nested(t.v_intervals, "event_id", "chrom", "iv_begin", "iv_end", "n_children")
 
 
 A = "SELECT chrom, iv_begin, iv_end FROM v_intervals WHERE event_id % 3 < 2"
